@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def _word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _remainder(of: int) -> Column:
+    """The number that deals documents into taught and held-out ones."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hintspark.llm.packing import pack
 
@@ -29,9 +34,72 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return pack(docs, _word_bpe())
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.langid import fit_profiles, identify
+
+    docs, held_out = _table(spark, sf_dir, "documents"), _remainder(3) == 1
+    return identify(docs, fit_profiles(docs.where(~held_out)), keep={"held_out": held_out})
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.mixing import systematic_copies
+
+    return systematic_copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP3_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    CAST('0x' || substr(sha256('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) AS draw
+  FROM documents),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, source_size, 3 * source_size AS most,
+    [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::BIGINT AS w FROM sums),
+levels AS (
+  SELECT *, row_number() OVER o AS pos,
+    (sum(source_size) OVER () - coalesce(sum(most) OVER before, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::DOUBLE AS level
+  FROM weighed
+  WINDOW o AS (ORDER BY most::DOUBLE / w, source NULLS LAST),
+    before AS (ORDER BY most::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT source, source_size, least(most::DOUBLE, (SELECT arg_min(level, pos) FROM levels WHERE level * w <= most) * w) AS target,
+    CAST('0x' || substr(sha256('mix:offset:' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u
+  FROM levels),
+ranked AS (
+  SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+    row_number() OVER (PARTITION BY d.source ORDER BY length(size::VARCHAR) * 100 + substr(size::VARCHAR, 1, 2)::INT, draw, doc_id NULLS FIRST, size) AS n
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (least(floor(rate * n + u) - floor(rate * (n - 1) + u), 3))::BIGINT * size AS taken
+FROM ranked
+"""
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.quality import judge_quality
+
+    judged = judge_quality(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.html_text import extract_text
+
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.toxicity import fit_toxicity, score_toxicity
+
+    docs, held_out = _table(spark, sf_dir, "documents"), _remainder(5) == 0
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    return score_toxicity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": OP3_SQL}

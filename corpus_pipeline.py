@@ -13,6 +13,10 @@ from hintspark.llm import queries as llm
 from hintspark.plans.shared import SharedTables
 
 STAGES = [
+    ("toxicity", llm.toxicity_stage),
+    ("minhash_near_dedup", llm.near_dedup_stage),
+    ("pii", llm.pii_stage),
+    ("mixing", llm.mixing_stage),
     ("packing", llm.packing_stage),
 ]
 

@@ -89,6 +89,18 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from hintspark.llm.near_dedup import keep_one_each
+
+    return keep_one_each(docs)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hintspark.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -97,9 +109,106 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model, taught as in op7_toxicity, doesn't reject."""
+    from hintspark.llm.toxicity import fit_toxicity, score_toxicity
+
+    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+    kept = {c: F.col(c) for c in docs.columns}
+    return score_toxicity(docs, model, kept).where("predicted = 0").select(*docs.columns)
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.pii import replace_entities
+
+    return replace_entities(_table(spark, sf_dir, "documents")).select("doc_id", "text", "entities", "collisions")
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates; n_chars counts the new text's characters."""
+    from hintspark.llm.pii import replace_entities
+
+    new = replace_entities(docs).select(*docs.columns)
+    return new.withColumn("n_chars", F.length("text").cast(new.schema["n_chars"].dataType)) if "n_chars" in docs.columns else new
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    from hintspark.llm.mixing import mix
+
+    return mix(docs)
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP9_SQL = """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM ints q JOIN ints c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+#: verdict, host and path of the rules.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.url_filter import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE rules(rule, verdict, rule_host, rule_path) AS (
+  VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+    ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+rests AS (
+  SELECT page_id, coalesce(html, '') AS html, regexp_extract(url, '^(.*?)://', 1, 's') AS scheme,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, html, scheme, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query FROM rests),
+nodes AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM parts),
+targets AS (
+  SELECT scheme, rest, node, replace(unnest(list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+      lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
+    || list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
+      lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))), '&amp;', '&') AS t FROM nodes WHERE node IS NOT NULL),
+absolute AS (
+  SELECT node AS src, CASE WHEN starts_with(t, '//') THEN substr(t, 3)
+    WHEN starts_with(t, '/') THEN regexp_extract(rest, '^([^/?#]*)', 1) || t
+    WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) ELSE '' END AS r FROM targets),
+ends AS (
+  SELECT src, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*(\?[^#]*)?', 1) AS query FROM absolute),
+edges AS (SELECT src, host || CASE WHEN path = '' THEN '/' ELSE path END || query AS dst FROM ends WHERE host <> ''),
+sides AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+reach AS (SELECT src AS node, dst AS other FROM sides UNION SELECT r.node, b.dst FROM reach r JOIN sides b ON r.other = b.src),
+ruled AS (
+  SELECT x.host, x.path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM (SELECT host, path FROM nodes UNION
+        SELECT regexp_extract(node, '^([^/?#]*)', 1), regexp_extract(node, '^[^/?#]*([^?#]*)', 1) FROM (SELECT src AS node FROM sides)) x
+  JOIN rules ON (x.host = rule_host OR ends_with(x.host, '.' || rule_host)) AND starts_with(x.path, rule_path) GROUP BY ALL),
+blocked AS (
+  SELECT DISTINCT r.node FROM reach r JOIN ruled u
+    ON u.host = regexp_extract(r.other, '^([^/?#]*)', 1) AND u.path = regexp_extract(r.other, '^[^/?#]*([^?#]*)', 1) WHERE u.verdict = 'block')
+SELECT n.page_id, n.host, n.path, u.rule, coalesce(u.verdict, CASE WHEN b.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM nodes n LEFT JOIN ruled u ON u.host = n.host AND u.path = n.path LEFT JOIN blocked b ON b.node = n.node
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op7_toxicity)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op6_near_dedup, op7_toxicity, op8_pii, op9_topk, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL, "op9_topk": OP9_SQL, "op10_url_filter": OP10_SQL}

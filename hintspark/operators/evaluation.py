@@ -202,8 +202,6 @@ def listwise_metrics(rows: DataFrame, query: str, score: str, position: str, tar
     """Target's rank by score (ties by position) and -log of its softmax share, per query. rows has one target (1) a query."""
     w = W.partitionBy(query)
     rank = F.row_number().over(w.orderBy(F.col(score).desc(), position))
-    total = F.sum(F.exp(F.col(score) - F.max(score).over(w))).over(w)
-    nll = F.log(total) - (F.col(score) - F.max(score).over(w))
     scored = rows.withColumn("rank", rank).withColumn("top", F.max(score).over(w))
     scored = scored.withColumn("nll", F.log(F.sum(F.exp(F.col(score) - F.col("top"))).over(w)) - (F.col(score) - F.col("top")))
     return scored.where(F.col(target) == 1).select(query, "rank", F.round("nll", 6).alias("nll"))

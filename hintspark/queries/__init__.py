@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOPICS = ("text", "retrieval", "evaluation", "splits")
+TOPICS = ("text", "retrieval", "evaluation", "splits", "evidence")
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:

@@ -130,7 +130,7 @@ def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["f11_mean_pool"] = (
     _pooled,
-    "WITH s AS (SELECT label, i - 1 AS k, sum(embedding[i]::DOUBLE) AS s FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL) SELECT label, k::INT AS "at", round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS value FROM s",
+    "WITH s AS (SELECT label, i - 1 AS k, sum(embedding[i]::DOUBLE) AS s FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL) SELECT label, k::INT AS \"at\", round(s / sqrt(sum(s * s) OVER (PARTITION BY label)), 6) AS value FROM s",
 )
 
 

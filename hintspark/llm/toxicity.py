@@ -100,7 +100,7 @@ def subsequences(words: list[str], most_cells: int = 1 << 19) -> Iterator[tuple[
 
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel values (words, landmarks)."""
-    table = np.zeros((CLASSES**3, len(landmarks)))
+    table = np.zeros((CLASSES**3, len(landmarks)), np.float32)
     for numbers, cells, weights in subsequences(landmarks):
         for number, cell, weight in zip(numbers, cells, weights):
             np.add.at(table[:, number], cell, weight)

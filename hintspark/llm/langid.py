@@ -142,7 +142,7 @@ def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         .toPandas()
     )
     table = rows.pivot(index="lang", columns="at", values="value").sort_index() if len(rows) else pd.DataFrame()
-    return Profiles(list(table.index), table.to_numpy(np.float64).reshape(len(table), -1), seed)
+    return Profiles(list(table.index), table.to_numpy(np.float64).reshape(len(table), dimension), seed)
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:

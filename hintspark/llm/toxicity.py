@@ -11,6 +11,7 @@ to the labelled documents.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -285,7 +286,8 @@ def fit_toxicity(
     share = n_toxic / (n_clean + n_toxic)
     both = F.col("clean") + F.col("toxic")
     gain = 2 * (F.col("toxic") * F.ln(F.col("toxic") / (both * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.ln(F.col("clean") / (both * (1 - share)))).otherwise(0.0))
-    speaks = words.where("word <> '' AND toxic > 0").where((F.col("toxic") > both * 0.6) & (gain > 20)).orderBy(gain.desc(), "word").limit(most_witnesses)
+    least = max(12.0, 2 * math.log(max(1, words.where(both >= 4).count())))  # few words get there by chance
+    speaks = words.where("word <> '' AND toxic > 0").where((F.col("toxic") > both * 0.6) & (gain > least)).orderBy(gain.desc(), "word").limit(most_witnesses)
     bad = [r["word"] for r in speaks.select("word").collect()]
     clean = words.where("word <> '' AND clean > 0").where(F.col("toxic") <= both * F.lit(min(0.5, 2 * share)) + 1)
     often = clean.orderBy(F.col("clean").desc(), "word").limit(most_clean_words // 4)

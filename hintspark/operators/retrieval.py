@@ -188,3 +188,11 @@ def group_queries(rows: DataFrame, query: str, target: str, repository: str) ->
     return rows.groupBy(X.normalize_query(F.col(query)).alias("query")).agg(
         F.sort_array(F.collect_set(target)).alias("targets"), F.when(many, "multiple").otherwise(F.min(repository)).alias("repository"), F.count("*").alias("rows")
     )
+
+
+def linear_rerank(candidates: DataFrame, query_id: str, id_col: str, score: Column, eligible: Column) -> DataFrame:
+    """Candidates (query_id, id, rank) in the order of a score; queries with a candidate out of scope keep their order."""
+    whole = F.bool_and("__in").over(W.partitionBy(query_id))
+    rows = candidates.withColumn("__s", F.round(score, 9)).withColumn("__in", eligible).withColumn("reranked", whole)
+    order = [F.when(F.col("reranked"), F.col("__s")).desc_nulls_last(), F.col("rank"), F.col(id_col)]
+    return rows.withColumn("new_rank", F.row_number().over(W.partitionBy(query_id).orderBy(*order))).drop("__s", "__in")

@@ -253,3 +253,15 @@ QUERIES["q2_quantize_vectors"] = (
     k AS (SELECT *, list_filter(a, lambda y: y >= least) AS kept FROM s), t AS (SELECT *, list_avg(kept) AS ts FROM k)
     SELECT vec_id, round(s, 9) AS int8_scale, round(list_sum(list_transform(x, lambda y: power(y - round(y / s) * s, 2))), 6) AS int8_error, round(ts, 9) AS ternary_scale, len(kept)::INT AS kept, round(list_sum(list_transform(x, lambda y: power(y - CASE WHEN abs(y) >= least THEN sign(y) * ts ELSE 0 END, 2))), 6) AS ternary_error FROM t""",
 )
+
+
+def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each passage's first eight documents by cross features of their first 64 words, with weights of alternating sign."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(X.words(F.col("text")), 1, 64).alias("d"))
+    top = R.bm25_topk(_scores(spark, sf_dir), 8).join(docs, "doc_id").join(_items(spark, sf_dir).select("query_id", F.slice(X.words(F.col("text")), 1, 64).alias("q")), "query_id")
+    found = H.with_cross_features(top, ["query_id", "doc_id", "rank"], F.col("q"), F.col("d"))
+    score = F.aggregate("features", F.lit(0.0), lambda s, f: s + f["val"] * F.when(f["idx"] == 0, 5.0).when(f["idx"] % 2 == 0, 0.1).otherwise(-0.1))
+    return R.linear_rerank(found, "query_id", "doc_id", score, F.size("features") > 0).drop("features")
+
+
+QUERIES["r16_linear_rerank"] = (_reranked, None)

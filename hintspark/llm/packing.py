@@ -12,7 +12,6 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -20,9 +19,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Distinct words, and distinct runs of letters, whose ids a worker remembers; when full, it starts again.
-WORDS_KEPT, RUNS_KEPT = 700_000, 700_000
-#: How the tokenizer cuts lower-case words of characters below U+0180: endings, letters, a number, others.
+from hintspark.llm.remember import Remembered
+
+#: Runs of letters, and words of other scripts, whose ids a worker remembers in each of two generations.
+RUNS_KEPT, WORDS_KEPT = 150_000, 20_000
+#: How the tokenizer cuts lower-case text of characters below U+0180: endings, letters, a number, others.
 _LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff\u0100-\u017f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 RUNS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}\t-\r \u0085\u00a0]+")
 PLAIN = re.compile("[\u0000-\u012f\u0131-\u017f]*")
@@ -31,10 +32,10 @@ PLAIN = re.compile("[\u0000-\u012f\u0131-\u017f]*")
 class WordTokenizer:
     """Little-endian 32-bit ids of whole texts, for a lower-casing BPE whose pieces end with </w>.
 
-    Its pieces never cross ASCII white space, so a text's ids are those of its words in order, and
-    distinct words are kept. New words are cut into runs first, as most differ only in case and
-    punctuation. Words with characters from U+0180 on, where lower case may depend on the context and
-    composition matters, go to the tokenizer whole.
+    A text is cut into runs as the tokenizer does, and the ids of distinct runs are remembered.
+    Texts with characters from U+0180 on, where lower case may depend on the context and composition
+    matters, are cut at ASCII white space, which no piece crosses, and their words go to the
+    tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -43,50 +44,38 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends = [(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)]
-        self.words: dict[bytes, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        self.words, self.runs = Remembered(WORDS_KEPT, "packing"), Remembered(RUNS_KEPT, "packing")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn_runs(self, new: list[str]) -> None:
-        if len(self.runs) + len(new) > RUNS_KEPT:
-            self.runs.clear()
-        joined = [new[i : i + 200] for i in range(0, len(new), 200)]
-        for runs, ids in zip(joined, self.encode([" ".join(runs) for runs in joined])):
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for some in (runs[i : i + 200] for i in range(0, len(runs), 200)):
+            (ids,) = self.encode([" ".join(some)])
             cuts = [0, *(i + 1 for i, x in enumerate(ids) if self.ends[x])]
-            if len(cuts) != len(runs) + 1:
-                self.runs.update((r, array("I", x).tobytes()) for r, x in zip(runs, self.encode(runs)))
-                continue
-            raw = array("I", ids).tobytes()
-            self.runs.update((r, raw[4 * i : 4 * j]) for r, i, j in zip(runs, cuts, cuts[1:]))
-
-    def learn(self, new: set[bytes]) -> None:
-        plain: dict[bytes, list[str]] = {}
-        whole: list[bytes] = []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if (text.isascii() or PLAIN.fullmatch(text)) and "<|" not in text:
-                plain[word] = RUNS.findall(text.lower())
+            if len(cuts) == len(some) + 1:
+                raw = array("I", ids).tobytes()
+                out.extend(raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:]))
             else:
-                whole.append(word)
-        wanted = set(chain.from_iterable(plain.values()))
-        if len(self.runs) + len(wanted) > RUNS_KEPT:
-            self.runs.clear()
-        self.learn_runs(sorted(wanted.difference(self.runs)))
-        self.words.update((w, b"".join(map(self.runs.__getitem__, runs))) for w, runs in plain.items())
-        self.words.update((w, array("I", x).tobytes()) for w, x in zip(whole, self.encode([w.decode("utf-8", "replace") for w in whole])))
+                out.extend(array("I", x).tobytes() for x in self.encode(some))
+        return out
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        return [array("I", ids).tobytes() for ids in self.encode([w.decode("utf-8", "replace") for w in words])]
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """bytes.split() cuts at the six ASCII white space characters and at nothing else."""
-        split = [text.split() if text else [] for text in texts]
-        new = set(chain.from_iterable(split)).difference(self.words)
-        if len(self.words) + len(new) > WORDS_KEPT:
-            self.words.clear()
-            new = set(chain.from_iterable(split))
-        self.learn(new)
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        pieces: list[list] = []
+        plain: list[bool] = []
+        for raw in texts:
+            text = (raw or b"").decode("utf-8", "replace")
+            plain.append((text.isascii() or PLAIN.fullmatch(text) is not None) and "<|" not in text)
+            pieces.append(RUNS.findall(text.lower()) if plain[-1] else raw.split())
+        runs = self.runs.of(set().union(*(p for p, easy in zip(pieces, plain) if easy)), self.encode_runs)
+        words = self.words.of(set().union(*(p for p, easy in zip(pieces, plain) if not easy)), self.encode_words)
+        for piece, easy in zip(pieces, plain):
+            yield b"".join(map((runs if easy else words).__getitem__, piece))
 
 
 @lru_cache(maxsize=2)
@@ -95,7 +84,7 @@ def tokenizer_at(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _batches(values: pa.Array, most_bytes: int = 8 << 20) -> Iterator[list[bytes | None]]:
+def _batches(values: pa.Array, most_bytes: int = 2 << 20) -> Iterator[list[bytes | None]]:
     """Values in lists of bounded size, so that very long texts don't meet in one list."""
     held, size = [], 0
     for value in values:
@@ -162,6 +151,7 @@ def pack(
     names = [f.name for f in piece.fields]
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.only("packing")
         encode = tokenizer_at(tokenizer_path)
         end = array("I", [end_id]).tobytes()
         partition = TaskContext.get().partitionId()

@@ -21,10 +21,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hintspark.llm.remember import Remembered
+
 #: Letters a to z have a class each, a word's two ends one each, other letters share the rest.
 CLASSES = 48
 DECAY, SPAN = 0.7, 6
-WORDS_KEPT = 700_000
+#: Words remembered in each of two generations, and characters read at once; both bound a worker.
+WORDS_KEPT, CHARS_AT_ONCE = 100_000, 1 << 21
 #: Digits that stand for letters inside a word.
 DIGITS = str.maketrans("013457", "oieast")
 #: The least value of a word, and so of a document without words.
@@ -128,14 +131,14 @@ class ToxicityModel:
 
 
 #: Values of words that a worker has seen, by model; kept between tasks.
-_KNOWN: dict[bytes, dict[str, float]] = {}
+_KNOWN: dict[bytes, Remembered] = {}
 
 
-def _known(model: ToxicityModel) -> dict[str, float]:
+def _known(model: ToxicityModel) -> Remembered:
     key = sha256(model.table.tobytes() + np.float64(model.bias).tobytes()).digest()
     if key not in _KNOWN:
         _KNOWN.clear()
-        _KNOWN[key] = {}
+        _KNOWN[key] = Remembered(WORDS_KEPT, "toxicity")
     return _KNOWN[key]
 
 
@@ -178,18 +181,14 @@ def fit_scale(top: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> np.ndarra
     return w
 
 
-def _learn(known: dict[str, float], words: set[str], model: ToxicityModel) -> None:
-    new = list(words.difference(known))
-    if len(known) + len(new) > WORDS_KEPT:
-        known.clear()
-        new = list(words)
-    short = [unit(w) for w in new]
+def _values(words: list[str], model: ToxicityModel) -> list[float]:
+    short = [unit(w) for w in words]
     some = list(set(short))
     value_of = dict(zip(some, model.values(some).tolist()))
-    known.update(zip(new, map(value_of.__getitem__, short)))
+    return list(map(value_of.__getitem__, short))
 
 
-def _some(texts: list[str | None], most_chars: int = 1 << 22) -> Iterator[list[str | None]]:
+def _some(texts: list[str | None], most_chars: int = CHARS_AT_ONCE) -> Iterator[list[str | None]]:
     """Texts in lists of bounded size, so that very long ones don't meet in one list."""
     held, size = [], 0
     for text in texts:
@@ -208,14 +207,15 @@ def top_values(docs: DataFrame, model: ToxicityModel, keep: dict[str, Column], t
     out = given.drop("__text").schema.add("first", "double").add("second", "double")
 
     def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        Remembered.only("toxicity")
         known = _known(model)
         for part in parts:
             rows = []
             for texts in _some(part.pop("__text").tolist()):
                 words_of = [units(text) for text in texts]
-                _learn(known, set().union(*words_of), model)
+                value_of = known.of(set().union(*words_of), lambda new: _values(new, model))
                 for words in words_of:
-                    best = {unit(w): v for v, w in zip(map(known.__getitem__, words), words) if v > LEAST}
+                    best = {unit(w): v for v, w in zip(map(value_of.__getitem__, words), words) if v > LEAST}
                     rows.append((*sorted(best.values(), reverse=True)[:2], LEAST, LEAST)[:2])
             first, second = zip(*rows) if rows else ((), ())
             yield part.assign(first=np.array(first, float), second=np.array(second, float))

@@ -184,7 +184,7 @@ QUERIES["e18_signal_audit"] = (
     levels AS (SELECT feature, lang, value, count(*) FILTER (label = 1) AS pos, count(*) FILTER (label <> 1) AS neg FROM r GROUP BY ALL),
     l AS (SELECT *, coalesce(sum(pos) OVER a, 0) AS pa, coalesce(sum(neg) OVER a, 0) AS na, sum(pos) OVER g AS p, sum(neg) OVER g AS n FROM levels
       WINDOW a AS (PARTITION BY feature, lang ORDER BY value DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), g AS (PARTITION BY feature, lang)),
-    m AS (SELECT feature, lang, round(sum(neg * (pa + pos / 2)) / max(p * n), 6) AS auc, round(sum(pos * ((pa + pos) / (pa + pos + na + neg))) / max(p), 6) AS average_precision, round(max(p) / (max(p) + max(n)), 6) AS prevalence FROM l GROUP BY ALL)
+    m AS (SELECT feature, lang, CASE WHEN max(p) > 0 AND max(n) > 0 THEN round(sum(neg * (pa + pos / 2)) / max(p * n), 6) END AS auc, CASE WHEN max(p) > 0 AND max(n) > 0 THEN round(sum(pos * ((pa + pos) / (pa + pos + na + neg))) / max(p), 6) END AS average_precision, round(max(p) / (max(p) + max(n)), 6) AS prevalence FROM l GROUP BY ALL)
     SELECT feature, round(avg(auc), 6) AS auc, round(avg(average_precision), 6) AS average_precision, round(avg(prevalence), 6) AS prevalence, count(*) AS folds FROM m GROUP BY feature""",
 )
 

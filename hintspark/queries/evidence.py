@@ -209,7 +209,7 @@ def _models(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A brand is a model, priced by its parts; one of seven has no price."""
     parts = table(spark, sf_dir, "part")
     n = F.substring("p_brand", 7, 2).cast("int")
-    models = parts.groupBy(F.col("p_brand").alias("id"), n.alias("n")).agg(F.round(F.avg("p_size") / 50, 3).alias("quality"), F.round(F.avg("p_retailprice"), 2).alias("price")).select(
+    models = parts.groupBy(F.col("p_brand").alias("id"), n.alias("n")).agg(F.round(F.avg("p_size") / 50, 6).alias("quality"), F.round(F.avg("p_retailprice"), 6).alias("price")).select(
         "id", "quality", (F.col("n") * 1000).alias("context"), (F.col("n") % 2 == 0).alias("tools"), (F.col("n") % 3 == 0).alias("local"), F.when(F.col("n") % 7 != 0, F.col("price")).alias("price_in"), (F.col("price") * 2).alias("price_out"), F.when(F.col("n") % 5 == 0, 50.0).alias("budget")
     )
     return models, models.where("context % 4000 <> 0").select("id", (F.col("context") % 70).cast("double").alias("spent"), (F.col("context") / 1000 % 4).cast("int").alias("in_flight"))
@@ -224,7 +224,7 @@ def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["j16_select_model"] = (
     _selected,
-    """WITH m AS (SELECT p_brand AS id, substr(p_brand, 7, 2)::INT AS n, round(avg(p_size) / 50, 3) AS quality, round(avg(p_retailprice), 2) AS price FROM part GROUP BY ALL),
+    """WITH m AS (SELECT p_brand AS id, substr(p_brand, 7, 2)::INT AS n, round(avg(p_size) / 50, 6) AS quality, round(avg(p_retailprice), 6) AS price FROM part GROUP BY ALL),
     c AS (SELECT o_orderkey AS request, id, quality, (o_orderkey % 9000 * price + (o_orderkey % 2000 + 1) * price * 2) / 1e6 AS cost, n, CASE WHEN n * 1000 % 4000 <> 0 THEN n * 1000 % 70 END AS spent, CASE WHEN n * 1000 % 4000 <> 0 THEN n % 4 ELSE 0 END AS load,
       CASE WHEN o_orderkey % 13 = 0 OR o_orderkey % 10 / 10 < 0.7 THEN 0.5 ELSE [0.3, 0.45, 0.5][o_orderkey % 3 + 1] END AS floor FROM orders CROSS JOIN m),
     e AS (SELECT request, id, quality, round(cost * (1 + 0.1 * load), 9) AS cost FROM c WHERE quality >= floor AND request % 9000 + request % 2000 + 1 <= n * 1000 AND (request % 4 <> 0 OR n % 2 = 0) AND (request % 6 <> 0 OR n % 3 = 0) AND n % 7 <> 0

@@ -202,13 +202,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group of copies costs one row a copy; texts without words are copies of each other. Other
     nodes meet in the buckets of equal picks, where each is paired with three centres: the first
     and the last node and one drawn anew for each bucket. The pair that most buckets propose for a
-    node is verified first, and of the others all that lie in different classes after that.
+    node is verified first, and of the others all that lie in different classes after that. Of the
+    pairs without a centre, all are verified that lie in different classes even then, but for those
+    that can't be near-duplicates by their lengths or their rarest words.
     Null ids are never a class_id if another id is there. Repeated rows share a class; an empty
     table gives no rows.
 
     Two texts with at least 0.8 of their labelled k-mers in common share a bucket but for one case
-    in 10**7. Buckets are never expanded into all pairs and never cut: minima and maxima are
-    partial aggregates, the joins can be split.
+    in 10**7. Buckets are never cut: minima and maxima are partial aggregates, the joins can be
+    split. Only nodes of different classes that share one of their rarest words are expanded into
+    pairs.
     """
     with arrow_rows(docs.sparkSession, 1000):
         return _classes(docs, id_col, text_col, similarity)
@@ -236,10 +239,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     classes = tables.keep(connected_components(_verified(best, texts, similarity), tables))
     rest = _apart(pairs.select("u", "v").join(best, ["u", "v"], "left_anti"), classes)
     links = _verified(tables.keep(rest), texts, similarity, ("u_class", "v_class"))
-    joined = connected_components(links.select(F.col("u_class").alias("u"), F.col("v_class").alias("v")), tables)
-    final = joined.select(F.col("node").alias("__old"), F.col("component").alias("__new"))
-    placed = _with_class(nodes.select("node", "id"), classes, "node", "class").join(final, F.col("class") == F.col("__old"), "left")
-    by_node = tables.keep(placed.select("node", "id", F.coalesce("__new", "class").alias("class")))
+    placed = tables.keep(_joined(_with_class(nodes.select("node", "id"), classes, "node", "class"), links, tables))
+    links = _verified(_unseen_pairs(nodes, pairs, placed, texts, similarity, tables), texts, similarity, ("u_class", "v_class"))
+    by_node = tables.keep(_joined(placed, links, tables))
     least = by_node.groupBy("class").agg(F.min("id").alias("class_id"))
     by_node = by_node.join(least, "class").select("node", "class_id")
     return meta.join(by_node, "node").select(F.col("id").alias(id_col), "class_id", "n_words")
@@ -257,6 +259,61 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return _with_class(_with_class(pairs, classes, "u", "u_class"), classes, "v", "v_class").where("u_class <> v_class")
 
 
+def _joined(placed: DataFrame, links: DataFrame, tables: SharedTables) -> DataFrame:
+    """placed (node, id, class) with the classes that the pairs (u_class, v_class) of links join."""
+    joined = connected_components(links.select(F.col("u_class").alias("u"), F.col("v_class").alias("v")), tables)
+    final = joined.select(F.col("node").alias("__old"), F.col("component").alias("__new"))
+    return placed.join(final, F.col("class") == F.col("__old"), "left").select("node", "id", F.coalesce("__new", "class").alias("class"))
+
+
+def _labelled_words(texts: DataFrame) -> DataFrame:
+    """node, n (its words) and one row for each word, which holds its occurrence, so that repeats count."""
+
+    def label(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for node, raw in zip(part.column(0).to_pylist(), part.column(1)):
+                words = np.sort(np.frombuffer(raw.as_py(), np.uint32)).astype(np.int64)
+                occurrence = np.arange(len(words)) - np.searchsorted(words, words)
+                columns = [pa.array([node] * len(words), pa.string()), pa.array(np.full(len(words), len(words))), pa.array(words | occurrence << 32)]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "word"])
+
+    return texts.select("node", "words").mapInArrow(label, "node string, n long, word long")
+
+
+def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts: DataFrame, similarity: float, tables: SharedTables) -> DataFrame:
+    """(u, v, u_class, v_class): all pairs of a bucket that lie in different classes and can be near-duplicates.
+
+    A bucket's first node is paired with all others, so one that holds several classes has an apart
+    pair, and all its nodes are neighbours of such a pair's ends. If m words at most of a text of n
+    may be edited, it has a word among its m + 1 rarest in common with the m' + 1 rarest of any
+    near-duplicate, whatever else they share; words of a passage that fills the bucket come last.
+    In each bucket and word, nodes outside its largest class meet all: at most twice the pairs that
+    lie in different classes.
+    """
+    of = placed.select(F.col("node").alias("node"), F.col("class").alias("component"))
+    ends = tables.keep(_ends_of(_apart(pairs.select("u", "v"), of)))
+    near = pairs.join(ends.withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).unionByName(ends).distinct()
+    buckets = tables.keep(nodes.join(near, "node", "left_semi").join(placed.select("node", "class"), "node").select("node", "class", F.explode("picks").alias("pick")))
+    several = buckets.groupBy("pick").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("pick")
+    members = tables.keep(buckets.join(several, "pick"))
+    tables.drop(buckets)
+    words = tables.keep(_labelled_words(texts.join(members.select("node").distinct(), "node", "left_semi")))
+    most = lambda n: F.floor((1 - similarity) * n + 1e-9).cast("int")
+    counted = words.join(words.groupBy("word").agg(F.count("*").alias("texts")), "word")
+    rarest = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "word"))).alias("w"))
+    rarest = rarest.select("node", "n", F.explode(F.slice("w", F.lit(1), most(F.col("n")) + 1)).alias("w")).where("w.texts > 1").select("node", "n", "w.word")
+    entries = tables.keep(members.join(rarest, "node"))
+    tables.drop(words)
+    sizes = entries.groupBy("pick", "word", "class").agg(F.count("*").alias("k")).groupBy("pick", "word")
+    largest = sizes.agg(F.max(F.struct("k", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    sides = [entries.select("pick", "word", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "class", "n"))) for side in "uv"]
+    met = sides[0].join(largest, ["pick", "word"]).where("u_class <> largest").join(sides[1], ["pick", "word"])
+    met = met.where("u_class <> v_class AND (v_class = largest OR u_node < v_node)")
+    met = met.where(F.abs(F.col("u_n") - F.col("v_n")) <= most(F.greatest("u_n", "v_n")))
+    ordered = [F.when(F.col("u_node") < F.col("v_node"), F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(n) for a, b, c, n in (("u", "v", "node", "u"), ("v", "u", "node", "v"), ("u", "v", "class", "u_class"), ("v", "u", "class", "v_class"))]
+    return tables.keep(met.select(*ordered).distinct())
+
+
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without all but one document of each class: the one with the class's least id.
 

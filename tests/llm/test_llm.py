@@ -233,6 +233,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept.columns == frame.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({root(k) for k in words})
 
 
+def test_copies_with_a_shared_passage_are_found_without_a_centre(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, rows = [word() for _ in range(75)], []
+    for i in range(120):
+        own = [word() for _ in range(25)]
+        copy = [w if k % 5 == 2 else word() for k, w in enumerate(own)]  # 20 of 100 words differ, no other run of five is shared
+        rows += [(2 * i, " ".join(passage + own), "en", "a", 0), (2 * i + 1, " ".join(passage + copy), "en", "a", 0)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == {k: k // 2 * 2 for k in range(240)}
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r["class_id"] for r in got if r["doc_id"] in (3, 4)} == {3}

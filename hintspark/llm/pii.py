@@ -3,10 +3,11 @@
 A detected entity is replaced by one of its own type and format that depends on a key alone. The
 replacement is a keyed permutation: the entity's characters are cut into two halves, and in each
 round the characters of one are moved on inside their own alphabets by digits drawn from the key
-and the other half. Such rounds can be undone, so different entities of a format always get
-different surrogates, and the same entity gets the same one in every document, without a table of
-entities to look up. Letters stay in their script and case, vowels of names stay vowels, and the
-last letter of a name stays, as titles do, so that its gender shows as before.
+and the other half. Such rounds can be undone, so different entities of a format get different
+surrogates, unless one is a fixed point, which is moved on and may meet another's; the same entity
+gets the same one in every document, without a table of entities to look up. Letters stay in their
+script and case, vowels of names stay vowels, and the last letter of a name stays, as titles do, so
+that its gender shows as before.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ ENTITIES = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in ENTITIES.values())
 #: A text without any of this holds no entity; one plain scan spares most texts the search.
-HINT = rf"[@0-9]|(?i:secret|token|password|passwd|api.?key)|(?:{TITLES})[. ]"
+HINT = rf"[@0-9]|(?i:secret|token|password|passwd|api.?key)|(?:{TITLES})[.\s]"
 ROUNDS = 6
 
 

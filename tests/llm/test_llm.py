@@ -320,6 +320,12 @@ def test_surrogates_are_distinct(spark):
     assert len(set(re.findall(r"\S+@\S+", text))) == 2000
 
 
+def test_names_after_any_white_space_are_found(spark):
+    texts = ["Frau\tWeber kam", "Mr\nSmith came", "Dr.\tJones came", "Mr  Brown came"]
+    got = [r["text"] for r in pii.replace_entities(docs(spark, [(i, t, "en", "a", 0) for i, t in enumerate(texts)])).orderBy("doc_id").collect()]
+    assert not [t for t in got for n in ("Weber", "Smith", "Jones", "Brown") if n in t]
+
+
 def test_pii_of_odd_rows(spark):
     frame = docs(spark, ODD).withColumn("entities", F.lit("mine"))
     got = pii.replace_entities(frame)

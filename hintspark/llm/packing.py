@@ -84,6 +84,9 @@ def tokenizer_at(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+Remembered.releases["packing"] = tokenizer_at.cache_clear
+
+
 def _batches(values: pa.Array, most_bytes: int = 2 << 20) -> Iterator[list[bytes | None]]:
     """Values in lists of bounded size, so that very long texts don't meet in one list."""
     held, size = [], 0

@@ -1,7 +1,9 @@
 """Quality rules with thresholds that follow the data.
 
 Each language and source gets mergeable quantile sketches of four ratios of its documents; a
-document is joined to the thresholds of its group and dropped if a ratio lies far outside.
+document is joined to the thresholds of its group and dropped if a ratio lies far outside. A
+sketch counts values in bins whose bounds grow by a constant factor, so that a quantile is off by a
+thousandth of itself at most; sketches merge by adding counts, in any order, to the same result.
 """
 
 from __future__ import annotations
@@ -10,22 +12,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from hintspark.plans.shared import SharedTables
+from hintspark.plans.shared import SharedTables, arrow_rows
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 _WHITE = b" \t\n\x0b\x0c\r"
 _POWERS = np.random.default_rng(11).integers(1, 2**63, WINDOW, np.uint64) | np.uint64(1)
 
-#: Ratios of a document, as SQL over its metrics.
+#: Chance occurrences that count for nothing: symbols, repeated lines, and repeats of a window.
+CHANCE = 3
+#: Ratios of a document, as SQL over its metrics; numbers beyond chance over all.
 RATIOS = {
-    "symbol_ratio": "try_divide(n_symbols, word_chars)",
-    "dup_line_ratio": "try_divide(n_dup_lines, n_lines)",
-    "repeat_ratio": "try_divide(n_repeat_words, n_words)",
+    "symbol_ratio": f"try_divide(greatest(n_symbols - {CHANCE}, 0), word_chars)",
+    "dup_line_ratio": f"try_divide(greatest(n_dup_lines - {CHANCE}, 0), n_lines)",
+    "repeat_ratio": f"try_divide(greatest(n_repeat_words - {CHANCE} * {2 * WINDOW}, 0), n_words)",
     "word_length": "try_divide(word_chars, n_words)",
 }
+#: Bounds of a sketch's bins grow by this factor.
+GROWTH = 1.002
+#: How far from the median the outer quantiles' distance is taken.
+REACH = 4
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -87,33 +95,59 @@ def text_metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "so
     return given.mapInArrow(measure, schema)
 
 
-def thresholds(metrics: DataFrame, k: int = 4096, least_rows: int = 200) -> DataFrame:
-    """lang, source and the highest value of each ratio that passes there.
+def sketches(metrics: DataFrame) -> DataFrame:
+    """lang, source, ratio, bin, n: how many rows of a group have a ratio in a bin; bin is null for 0.
 
-    A sketch of k items describes each language and source; merging those of a language gives its
-    own, and merging these gives everyone's. A group of fewer than least_rows documents takes the
-    thresholds of its language, or of all if these are few too. A threshold is the upper quartile
-    plus four times the distance from the median to the 90th percentile, and SLACK at least, so
-    that the usual zero of a ratio isn't the only value to pass.
+    Counts are partial sums before they are shuffled, so a hot group costs a few thousand rows a
+    task. Ratios that are null (of texts without words) are not counted.
     """
-    ratios = list(RATIOS)
-    sketch = [F.kll_sketch_agg_double(F.expr(RATIOS[r]), F.lit(k)).alias(r) for r in ratios]
-    merged = [F.kll_merge_agg_double(r).alias(r) for r in ratios]
-    groups = metrics.groupBy("lang", "source").agg(F.count("*").alias("rows"), *sketch)
-    langs = groups.groupBy(F.col("lang").alias("lang2")).agg(F.sum("rows").alias("lang_rows"), *(m.alias(f"lang_{r}") for m, r in zip(merged, ratios)))
-    every = groups.agg(*(m.alias(f"all_{r}") for m, r in zip(merged, ratios)))
-    both = groups.join(langs, F.col("lang").eqNullSafe(F.col("lang2"))).join(F.broadcast(every))  # one row
+    values = F.array(*(F.struct(F.lit(r).alias("ratio"), F.expr(sql).cast("double").alias("value")) for r, sql in RATIOS.items()))
+    rows = metrics.select("lang", "source", F.explode(values).alias("v")).where("v.value IS NOT NULL")
+    number = F.ceil(F.ln(F.col("v.value")) / float(np.log(GROWTH))).cast("int")
+    return rows.groupBy("lang", "source", F.col("v.ratio").alias("ratio"), F.when(F.col("v.value") > 0, number).alias("bin")).agg(F.count("*").alias("n"))
 
-    def limit(r: str):
-        taken = F.when(F.col("rows") >= least_rows, F.col(r)).when(F.col("lang_rows") >= least_rows, F.col(f"lang_{r}")).otherwise(F.col(f"all_{r}"))
-        middle, upper, high = (F.kll_sketch_get_quantile_double(taken, F.lit(q)) for q in (0.5, 0.75, 0.9))
-        return F.greatest(upper + 4 * (high - middle), F.lit(SLACK[r])).alias(f"most_{r}")
 
-    return both.select("lang", "source", *map(limit, ratios))
+def merged(sketched: DataFrame, *keys: str) -> DataFrame:
+    """Sketches of the groups that keys name, as sums of finer ones."""
+    return sketched.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
 
 
-#: A ratio up to this passes in any group.
-SLACK = {"symbol_ratio": 0.2, "dup_line_ratio": 0.3, "repeat_ratio": 0.3, "word_length": 15.0}
+def fences(sketched: DataFrame, *keys: str) -> DataFrame:
+    """keys, ratio, rows, low and high: what lies outside is far from the group's other values.
+
+    high is the upper quartile plus four times the distance from the median to the 90th percentile,
+    low the lower quartile less four times that from the 10th percentile to the median. Where nine
+    of ten documents have none beyond chance, high is 0, so that any more is too much.
+    """
+    group = W.partitionBy(*keys, "ratio")
+    counted = sketched.withColumn("rows", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy(F.col("bin").asc_nulls_first())))
+    value = F.coalesce(F.lit(2.0) * F.pow(F.lit(GROWTH), F.col("bin")) / F.lit(GROWTH + 1), F.lit(0.0))
+
+    def quantile(q: float) -> Column:
+        return F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), value))
+
+    found = counted.groupBy(*keys, "ratio").agg(F.first("rows").alias("rows"), *(quantile(q).alias(n) for n, q in (("q10", 0.1), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9))))
+    return found.select(*keys, "ratio", "rows", (F.col("q25") - REACH * (F.col("q50") - F.col("q10"))).alias("low"), (F.col("q75") + REACH * (F.col("q90") - F.col("q50"))).alias("high"))
+
+
+def thresholds(metrics: DataFrame, least_rows: int = 200) -> DataFrame:
+    """lang, source, the highest value of each ratio that passes there, and the least word length.
+
+    A group of fewer than least_rows documents takes the thresholds of its language, or of all if
+    these are few too.
+    """
+    tables = SharedTables(metrics.sparkSession, "quality")
+    sketched = tables.keep(sketches(metrics))
+    named = lambda frame, level, *keys: frame.select(*(F.col(k).alias(f"{level}_{k}") for k in (*keys, "ratio", "rows", "low", "high")))
+    own = named(fences(sketched, "lang", "source"), "own", "lang", "source")
+    langs = named(fences(merged(sketched, "lang"), "lang"), "lang", "lang")
+    every = named(fences(merged(sketched)), "all")  # four rows
+    both = own.join(langs, F.col("own_lang").eqNullSafe(F.col("lang_lang")) & (F.col("own_ratio") == F.col("lang_ratio")))
+    both = both.join(F.broadcast(every), F.col("own_ratio") == F.col("all_ratio"))
+    taken = lambda side: F.when(F.col("own_rows") >= least_rows, F.col(f"own_{side}")).when(F.col("lang_rows") >= least_rows, F.col(f"lang_{side}")).otherwise(F.col(f"all_{side}"))
+    of = lambda r, side: F.max(F.when(F.col("own_ratio") == r, taken(side)))
+    limits = [*(of(r, "high").alias(f"most_{r}") for r in RATIOS), of("word_length", "low").alias("least_word_length")]
+    return both.groupBy(F.col("own_lang").alias("lang"), F.col("own_source").alias("source")).agg(*limits)
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -122,18 +156,19 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base_failed: fewer than 20 words, or more than 30 % of them in repeated windows. Such rows, as
     those of null and empty texts, aren't kept and don't shape the thresholds. Null languages and
     sources are groups of their own. Repeated rows are judged alike; an empty table gives no rows.
-    The metrics are written once to the shared folder, as are the thresholds: a recomputed task
-    then can't judge by other ones.
+    Other columns of docs, whatever their names, play no part. The metrics are written once to the
+    shared folder, as are the thresholds. Reruns agree, whatever the partitions.
     """
-    tables = SharedTables(docs.sparkSession, "quality")
+    spark = docs.sparkSession
+    tables = SharedTables(spark, "quality")
     named = docs.select(F.col(id_col), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    metrics = tables.keep(text_metrics(named, (id_col, "lang", "source"), text_col).withColumn("base_failed", failed))
+    with arrow_rows(spark, 1000):
+        metrics = tables.keep(text_metrics(named, (id_col, "lang", "source"), text_col).withColumn("base_failed", failed))
     limits = tables.keep(thresholds(metrics.where("NOT base_failed")))
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = metrics.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
-    passes = [F.expr(sql) <= F.col(f"most_{r}") for r, sql in RATIOS.items()]
-    good = passes[0]
-    for one in passes[1:]:
-        good = good & one
+    good = F.expr(RATIOS["word_length"]) >= F.col("least_word_length")
+    for r, sql in RATIOS.items():
+        good = good & (F.expr(sql) <= F.col(f"most_{r}"))
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(good))

@@ -101,21 +101,34 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return keep_one_each(docs)
 
 
+def _toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    from hintspark.llm.toxicity import fit_toxicity
+
+    return fit_toxicity(docs, _table(spark, sf_dir, "labels").where(_remainder(5) != 0))
+
+
+def _judged(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """frame written to the shared folder, its texts sent to Python in small batches."""
+    from hintspark.plans.shared import SharedTables, arrow_rows
+
+    with arrow_rows(spark, 1000):
+        return SharedTables(spark, "toxicity").keep(frame)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from hintspark.llm.toxicity import fit_toxicity, score_toxicity
+    from hintspark.llm.toxicity import toxicity_score
 
-    docs, held_out = _table(spark, sf_dir, "documents"), _remainder(5) == 0
-    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").where(~held_out))
-    return score_toxicity(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+    docs = _table(spark, sf_dir, "documents")
+    score = toxicity_score(F.col("text"), _toxicity_model(spark, docs, sf_dir))
+    judged = docs.select("doc_id", (_remainder(5) == 0).alias("held_out"), score.alias("score"))
+    return _judged(spark, judged).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, taught as in op7_toxicity, doesn't reject."""
-    from hintspark.llm.toxicity import fit_toxicity, score_toxicity
+    """Documents that the model, taught as in op7_toxicity, doesn't reject; all columns stay as they are."""
+    from hintspark.llm.toxicity import toxicity_score
 
-    model = fit_toxicity(docs, _table(spark, sf_dir, "labels").where(_remainder(5) != 0))
-    kept = {c: F.col(c) for c in docs.columns}
-    return score_toxicity(docs, model, kept).where("predicted = 0").select(*docs.columns)
+    return _judged(spark, docs.where(toxicity_score(F.col("text"), _toxicity_model(spark, docs, sf_dir)) < 0.5))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import weakref
 from collections.abc import Callable, Iterable
 from typing import ClassVar
 
@@ -10,18 +12,30 @@ class Remembered:
     """Values by key in two generations. When the younger has over most keys it becomes the older,
     and what isn't asked for again until the next change is forgotten."""
 
-    everyone: ClassVar[list[Remembered]] = []
+    everyone: ClassVar[weakref.WeakSet[Remembered]] = weakref.WeakSet()
+    #: What an owner lets go of, besides remembered values, when a worker serves another one.
+    releases: ClassVar[dict[str, Callable[[], None]]] = {}
+    serves: ClassVar[str | None] = None
 
     def __init__(self, most: int, owner: str):
         self.most, self.owner, self.young, self.old = most, owner, {}, {}
-        self.everyone.append(self)
+        self.everyone.add(self)
 
     @classmethod
     def only(cls, owner: str) -> None:
-        """A worker that serves another operator forgets what it knew for the one before."""
-        for one in cls.everyone:
+        """A worker that serves another operator forgets what it knew for the one before, and returns the memory."""
+        if cls.serves == owner:
+            return
+        cls.serves = owner
+        for one in list(cls.everyone):
             if one.owner != owner:
                 one.young, one.old = {}, {}
+        for other, release in cls.releases.items():
+            if other != owner:
+                release()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
     def of(self, keys: Iterable, compute: Callable[[list], Iterable]) -> dict:
         """Values of the keys; compute gives those of unknown ones, in their order."""

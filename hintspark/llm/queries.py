@@ -22,6 +22,14 @@ def _remainder(of: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % of
 
 
+def _kept(spark: SparkSession, frame: DataFrame, purpose: str) -> DataFrame:
+    """frame written to the shared folder, its texts sent to Python in small batches."""
+    from hintspark.plans.shared import SharedTables, arrow_rows
+
+    with arrow_rows(spark, 1000):
+        return SharedTables(spark, purpose).keep(frame)
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hintspark.llm.packing import pack
 
@@ -86,7 +94,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hintspark.llm.html_text import extract_text
 
-    return extract_text(_table(spark, sf_dir, "pages"))
+    return _kept(spark, extract_text(_table(spark, sf_dir, "pages")), "html")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,28 +115,20 @@ def _toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
     return fit_toxicity(docs, _table(spark, sf_dir, "labels").where(_remainder(5) != 0))
 
 
-def _judged(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """frame written to the shared folder, its texts sent to Python in small batches."""
-    from hintspark.plans.shared import SharedTables, arrow_rows
-
-    with arrow_rows(spark, 1000):
-        return SharedTables(spark, "toxicity").keep(frame)
-
-
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hintspark.llm.toxicity import toxicity_score
 
     docs = _table(spark, sf_dir, "documents")
     score = toxicity_score(F.col("text"), _toxicity_model(spark, docs, sf_dir))
     judged = docs.select("doc_id", (_remainder(5) == 0).alias("held_out"), score.alias("score"))
-    return _judged(spark, judged).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return _kept(spark, judged, "toxicity").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model, taught as in op7_toxicity, doesn't reject; all columns stay as they are."""
     from hintspark.llm.toxicity import toxicity_score
 
-    return _judged(spark, docs.where(toxicity_score(F.col("text"), _toxicity_model(spark, docs, sf_dir)) < 0.5))
+    return _kept(spark, docs.where(toxicity_score(F.col("text"), _toxicity_model(spark, docs, sf_dir)) < 0.5), "toxicity")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

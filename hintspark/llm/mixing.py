@@ -8,12 +8,16 @@ order goes by size, what is taken stays near the target in words, not only in do
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: Words are runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one slice of a size class; a task sorts a few slices at most.
 SLICE_ROWS = 100_000
+#: Slices whose counts are summed in one order.
+SPAN_SLICES = 4_096
 
 
 def _draw(*parts: Column | str) -> Column:
@@ -60,47 +64,74 @@ def systematic_copies(
     nothing to what is taken. Copies are cap at most. A null source is a source. Ties of size
     class and draw go by id, then size; repeated rows may get different numbers of copies. An
     empty table gives no rows. Columns of docs with the names given above are replaced.
+    """
+    given = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
+    placed = _placed(docs, weights, cap, id_col, text_col, source_col, seed)
+    named = {n: F.col(f"__{n}") for n in ("size", "source_size", "target", "copies")}
+    return placed.select(*given, *(c.alias(n) for n, c in named.items()), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], cap: int, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """docs with __size, __source_size, __target and __copies.
 
     A source is cut into size classes (its size's length and two leading digits) and these into
-    slices of draws, so that a hot source or size is sorted by many tasks; only the counts of
-    slices are summed in order. Reruns agree, and so do runs with other numbers of slices.
+    slices of draws, so that a hot source or size is sorted by many tasks. Slices are counted, and
+    so are spans of at most SPAN_SLICES of them: running sums go over the spans of a class, the classes
+    of a source and the slices of a span, so that no task orders more than a few thousand counts.
+    Reruns agree, and so do runs with other numbers of slices.
     """
-    given = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
     slices = max(1, -(-docs.count() // SLICE_ROWS))
-    digits = F.col("size").cast("string")
-    draw = _draw(seed, F.col(id_col))
+    digits = F.col("__size").cast("string")
     keys = ["__source", "__class", "__slice"]
     rows = (
-        docs.select(*given, F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+        docs.withColumn("__size", F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long"))
         .withColumn("__source", F.col(source_col))
         .withColumn("__class", F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int"))
-        .withColumn("__draw", draw)
+        .withColumn("__draw", _draw(seed, F.col(id_col)))
         .withColumn("__slice", F.floor(F.col("__draw") * slices / 2.0**32).cast("int"))
     )
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("size").alias("__sum"))
-    sizes = counts.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("source_size"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum")).withColumn("__span", F.floor(F.col("__slice") / SPAN_SLICES).cast("int"))
+    spans = counts.groupBy("__source", "__class", "__span").agg(F.sum("__n").alias("__n"), F.sum("__sum").alias("__sum"))
+    classes = spans.groupBy("__source", "__class").agg(F.sum("__n").alias("__n"), F.sum("__sum").alias("__sum"))
+    sizes = classes.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("source_size"))
     targets = source_targets(sizes, weights, cap)
-    order = W.partitionBy("__source").orderBy("__class", "__slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(order), F.lit(0)))
-    starts = (
-        starts.join(targets, F.col("__source").eqNullSafe(F.col("source")))
-        .select(
-            *(F.col(k).alias(k + "2") for k in keys), "__before", "source_size", "target",
-            (_draw(seed, "offset", F.col("source")) / 2.0**32).alias("__offset"),
-            F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"),
-        )
+
+    def before(frame: DataFrame, group: list[str], by: str, name: str) -> DataFrame:
+        order = W.partitionBy(*group).orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+        return frame.withColumn(name, F.coalesce(F.sum("__n").over(order), F.lit(0)))
+
+    def joined(left: DataFrame, right: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+        other = right.select(*(F.col(k).alias(k + "2") for k in on), *values)
+        same = [F.col(k).eqNullSafe(F.col(k + "2")) if k == "__source" else F.col(k) == F.col(k + "2") for k in on]
+        return left.join(other, reduce(Column.__and__, same)).drop(*(k + "2" for k in on))
+
+    by_class = before(classes, ["__source"], "__class", "__before_class")
+    by_span = before(spans, ["__source", "__class"], "__span", "__before_span")
+    by_slice = before(counts, ["__source", "__class", "__span"], "__slice", "__before_slice")
+    starts = joined(by_slice, by_span, ["__source", "__class", "__span"], ["__before_span"])
+    starts = joined(starts, by_class, ["__source", "__class"], ["__before_class"])
+    starts = starts.join(targets, F.col("__source").eqNullSafe(F.col("source"))).select(
+        *keys, (F.col("__before_class") + F.col("__before_span") + F.col("__before_slice")).alias("__before"),
+        F.col("source_size").alias("__source_size"), F.col("target").alias("__target"),
+        (_draw(seed, "offset", F.col("source")) / 2.0**32).alias("__offset"),
+        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate"),
     )
-    inside = F.row_number().over(W.partitionBy(*keys).orderBy("__draw", id_col, "size"))
-    same = [F.col(k).eqNullSafe(F.col(k + "2")) if k == "__source" else F.col(k) == F.col(k + "2") for k in keys]
-    placed = rows.withColumn("__rank", inside).join(starts, same[0] & same[1] & same[2])
+    inside = F.row_number().over(W.partitionBy(*keys).orderBy("__draw", id_col, "__size"))
+    placed = joined(rows.withColumn("__rank", inside), starts, keys, ["__before", "__source_size", "__target", "__offset", "__rate"])
     rank = F.col("__before") + F.col("__rank")
     crossed = F.floor(F.col("__rate") * rank + F.col("__offset")) - F.floor(F.col("__rate") * (rank - 1) + F.col("__offset"))
-    return placed.withColumn("copies", F.least(crossed, F.lit(cap)).cast("int")).select(
-        *(F.col(c) for c in given), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
-    )
+    return placed.withColumn("__copies", F.least(crossed, F.lit(cap)).cast("int"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as systematic_copies() says, with its columns alone."""
-    placed = systematic_copies(docs.select(*(F.col(c) for c in docs.columns)), **how)
-    return placed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+def mix(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (5, 2, 1),
+    cap: int = 3,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    seed: str = "mix",
+) -> DataFrame:
+    """The rows of docs, each as often as systematic_copies() says, with its columns alone, whatever their names."""
+    placed = _placed(docs, weights, cap, id_col, text_col, source_col, seed).where("__copies > 0")
+    return placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

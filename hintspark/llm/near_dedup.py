@@ -9,13 +9,12 @@ a band around the diagonal decides: at most a fifth of the longer text's words m
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hintspark.plans.components import connected_components
 from hintspark.plans.shared import SharedTables, arrow_rows
@@ -148,9 +147,15 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return distance if distance <= most else None
 
 
+def text_node(text: Column) -> Column:
+    """A digest of a text's lower-case words; null and empty texts have the one of no words."""
+    return F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+
+
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, node (a digest of the text's words), n_words, picks, and the words as 32-bit hashes."""
-    given = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary").alias("text"))
+    text = F.col(text_col)
+    given = docs.select(F.col(id_col).alias("id"), text_node(text).alias("node"), F.lower(F.coalesce(text, F.lit(""))).cast("binary").alias("text"))
     schema = T.StructType([
         given.schema["id"], T.StructField("node", T.StringType()), T.StructField("n_words", T.LongType()),
         T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType()),
@@ -160,15 +165,14 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for part in parts:
             for at in range(0, part.num_rows, 1000):
                 some = part.slice(at, 1000)
-                nodes, sizes, picks, raws = [], [], [], []
-                for value in some.column(1):
+                sizes, picks, raws = [], [], []
+                for value in some.column(2):
                     words = value.as_py().split()
                     hashed = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-                    nodes.append(hashlib.md5(b" ".join(words)).hexdigest())
                     sizes.append(len(words))
                     picks.append(order_minhash(labelled_kmers(hashed)))
                     raws.append(hashed.tobytes())
-                columns = [some.column(0), pa.array(nodes), pa.array(sizes, pa.int64()), pa.array(picks, pa.list_(pa.int64())), pa.array(raws, pa.binary())]
+                columns = [some.column(0), some.column(1), pa.array(sizes, pa.int64()), pa.array(picks, pa.list_(pa.int64())), pa.array(raws, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return given.mapInArrow(sketch, schema)
@@ -206,18 +210,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs without a centre, all are verified that lie in different classes even then, but for those
     that can't be near-duplicates by their lengths or their rarest words.
     Null ids are never a class_id if another id is there. Repeated rows share a class; an empty
-    table gives no rows.
+    table gives no rows. Other columns of docs, whatever their names, play no part.
 
     Two texts with at least 0.8 of their labelled k-mers in common share a bucket but for one case
     in 10**7. Buckets are never cut: minima and maxima are partial aggregates, the joins can be
     split. Only nodes of different classes that share one of their rarest words are expanded into
     pairs.
     """
-    with arrow_rows(docs.sparkSession, 1000):
-        return _classes(docs, id_col, text_col, similarity)
+    return _classes(docs, id_col, text_col, similarity).select(F.col("id").alias(id_col), "class_id", "n_words")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """id, node, n_words, class (a node of it) and class_id for every row."""
+    with arrow_rows(docs.sparkSession, 1000):
+        return _found_classes(docs, id_col, text_col, similarity)
+
+
+def _found_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     tables = SharedTables(docs.sparkSession, "near-dedup")
     rows = tables.keep(_sketched(docs, id_col, text_col))
     nodes = tables.keep(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("picks").alias("picks")))
@@ -243,8 +252,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     links = _verified(_unseen_pairs(nodes, pairs, placed, texts, similarity, tables), texts, similarity, ("u_class", "v_class"))
     by_node = tables.keep(_joined(placed, links, tables))
     least = by_node.groupBy("class").agg(F.min("id").alias("class_id"))
-    by_node = by_node.join(least, "class").select("node", "class_id")
-    return meta.join(by_node, "node").select(F.col("id").alias(id_col), "class_id", "n_words")
+    by_node = by_node.join(least, "class").select("node", "class", "class_id")
+    return meta.join(by_node, "node").select("id", "node", "n_words", "class", "class_id")
 
 
 def _with_class(frame: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
@@ -315,14 +324,24 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one document of each class: the one with the class's least id.
+    """docs without all but one row of each class: the one with the class's least id, null ids last.
 
-    Documents with a null id can't be named and stay. Of repeated rows with the kept id, one stays.
+    Rows are told apart by id and text: different texts that share an id are kept or dropped each by
+    its own class. Of rows with one id and equal words, one stays. All columns stay as they are.
     """
-    judged = near_duplicates(docs, id_col, text_col)
-    kept = judged.where(F.col(id_col) == F.col("class_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
-    kept = SharedTables(docs.sparkSession, "near-dedup").keep(kept)
-    chosen = docs.join(kept.select("__id"), F.col(id_col) == F.col("__id"), "left_semi")
-    if kept.where("__n > 1").head(1):
-        chosen = chosen.dropDuplicates([id_col])
-    return chosen.unionByName(docs.where(F.col(id_col).isNull()))
+    tables = SharedTables(docs.sparkSession, "near-dedup")
+    judged = tables.keep(_classes(docs, id_col, text_col, SIMILARITY).select("id", "node", "class"))
+    least = judged.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node")).alias("b"))
+    kept = least.select(F.col("b.id").alias("__id"), F.col("b.node").alias("__node"))
+    copies = judged.groupBy(F.col("id").alias("__id"), F.col("node").alias("__node")).agg(F.count("*").alias("__n"))
+    kept = tables.keep(kept.alias("k").join(copies.alias("c"), F.col("k.__id").eqNullSafe(F.col("c.__id")) & (F.col("k.__node") == F.col("c.__node"))).select("k.*", "__n"))
+    named = docs.withColumn("__near_node", text_node(F.col(text_col)))
+
+    def those(which: DataFrame) -> DataFrame:
+        return named.join(which, named[id_col].eqNullSafe(which["__id"]) & (named["__near_node"] == which["__node"]), "left_semi")
+
+    once = those(kept.where("__n = 1"))
+    again = kept.where("__n > 1")
+    if again.head(1):
+        once = once.unionByName(those(again).dropDuplicates([id_col, "__near_node"]))
+    return once.select(*docs.columns)

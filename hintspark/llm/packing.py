@@ -158,7 +158,7 @@ def pack(
         encode = tokenizer_at(tokenizer_path)
         end = array("I", [end_id]).tobytes()
         partition = TaskContext.get().partitionId()
-        seen: dict[tuple, int] = {}
+        seen: dict[int, int] = {}  # one number for each text of the partition, whose bytes Spark bounds
         for part in parts:
             keys = part.column(0).to_pylist()
             row = iter(keys)
@@ -167,7 +167,7 @@ def pack(
                 for ids in encode(texts):
                     key, raw = next(row), ids + end
                     length = len(raw) // 4
-                    same = (key, zlib.crc32(raw), length)
+                    same = zlib.crc32(f"{key} {length}".encode()) << 32 | zlib.crc32(raw)
                     seen[same] = again = seen.get(same, -1) + 1
                     salt = zlib.crc32(f"{same} {again} {partition if again else 0}".encode())
                     for start in range(0, length, capacity):

@@ -192,14 +192,18 @@ parts AS (
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*(\?[^#]*)?', 1) AS query FROM rests),
 nodes AS (SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS node FROM parts),
 targets AS (
-  SELECT scheme, rest, node, replace(unnest(list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
+  SELECT scheme, rest, node, path, replace(unnest(list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|''[^''>]*\bcanonical\b|canonical\b)[^>]*>'),
       lambda t: regexp_extract(t, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))
     || list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
       lambda t: regexp_extract(t, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1))), '&amp;', '&') AS t FROM nodes WHERE node IS NOT NULL),
 absolute AS (
   SELECT node AS src, CASE WHEN starts_with(t, '//') THEN substr(t, 3)
     WHEN starts_with(t, '/') THEN regexp_extract(rest, '^([^/?#]*)', 1) || t
-    WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) ELSE '' END AS r FROM targets),
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN instr(t, '://') > 0 THEN substr(t, instr(t, '://') + 3) ELSE '' END
+    WHEN starts_with(t, '?') THEN regexp_extract(rest, '^([^/?#]*)', 1) || path || t
+    WHEN starts_with(t, '#') THEN ''
+    ELSE regexp_extract(rest, '^([^/?#]*)', 1) || CASE WHEN instr(path, '/') > 0 THEN regexp_extract(path, '^(.*/)', 1) ELSE '/' END
+      || regexp_replace(t, '^(\./)+', '') END AS r FROM targets),
 ends AS (
   SELECT src, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(r, '^[^?#]*(\?[^#]*)?', 1) AS query FROM absolute),

@@ -16,8 +16,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hintspark.plans.shared import SharedTables
 
-#: Vectors in a block of candidates, queries in a block, and candidates looked at between updates.
-BLOCK, QUERIES, STEP = 16_384, 1_024, 1_024
+#: Vectors in a block of candidates, queries in a block, and queries and candidates looked at between updates.
+BLOCK, QUERIES, STEP = 16_384, 8_192, 1_024
+#: The longest vectors, among which a query finds its first bound.
+FIRST = 2_048
 #: Shares of the coordinates after which pairs are dropped.
 STAGES = (0.25, 0.5)
 
@@ -72,7 +74,7 @@ class _Side:
     """Vectors, their rotation, and the lengths of what lies behind each stage."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, rotation: np.ndarray):
-        self.ids, self.matrix = ids, matrix
+        self.ids, self.matrix, self.rotation = ids, matrix, rotation
         self.turned = matrix.astype(float) @ rotation
         squares = self.turned**2
         self.cuts = sorted({max(1, int(s * matrix.shape[1])) for s in STAGES})
@@ -80,12 +82,16 @@ class _Side:
         self.rest = [np.sqrt(squares[:, c:].sum(1)) for c in self.cuts]
 
 
+#: A floor that every score reaches.
+NO_FLOOR = np.iinfo(np.int64).min
+
+
 def best_of_block(query: _Side, other: _Side, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, id, score) of each query's k best among other that reach floor.
 
-    other goes by descending length; floor rises as better scores are found.
+    other goes by descending length; floor, in whole numbers, rises as better scores are found.
     """
-    floor = floor.astype(float).copy()
+    floor = floor.copy()
     found_q, found_id, found_score = (np.zeros(0, np.int64) for _ in range(3))
     for at in range(0, len(other.ids), STEP):
         to = min(at + STEP, len(other.ids))
@@ -116,7 +122,7 @@ def best_of_block(query: _Side, other: _Side, floor: np.ndarray, k: int) -> tupl
         start = np.searchsorted(found_q, found_q)
         place = np.arange(len(found_q)) - start
         last = place == k - 1
-        floor[found_q[last]] = np.maximum(floor[found_q[last]], found_score[last])
+        np.maximum.at(floor, found_q[last], found_score[last])
         kept = place < k
         found_q, found_id, found_score = found_q[kept], found_id[kept], found_score[kept]
     return found_q, found_id, found_score
@@ -128,12 +134,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     A component x counts as floor(scale * x), the score is the integer inner product (it must fit
     64 bits); ties go to smaller ids. Vectors that are null or empty or hold a null or non-finite
     component, and null ids, take no part; a shorter vector counts as filled with zeros. Queries
-    with fewer than k others get all. Rows with one id aren't compared with each other. No vectors
-    or no queries give no rows.
+    with fewer than k others get all. Rows with one id aren't compared with each other; a query row
+    that is repeated gets its own k best each time, and a repeated candidate counts each time. No
+    vectors or no queries give no rows. Other columns of vectors play no part.
 
     Queries and candidates are packed into blocks, and every pair of blocks whose lengths allow a
     hit is one group, so a task holds one block of each at a time. Each query starts from its k-th
-    best score among the longest block, which is bounded and the only data that goes to all tasks.
+    best score among the FIRST longest vectors, the only data that goes to all tasks.
     """
     spark, tables = vectors.sparkSession, SharedTables(vectors.sparkSession, "topk")
     value = F.col(vector_col)
@@ -158,19 +165,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     asked = sorted_blocks(whole.where("asks"), shape["asks"], QUERIES, "asking")
     rotation = _rotation(others, width)
     first = others.orderBy(F.col("longest").desc(), "block").limit(1).first()
-    first_ids, first_matrix = _matrix(first, width)
+    first_ids, first_matrix = (x[:FIRST] for x in _matrix(first, width))
+
+    def some(query: _Side, floor: np.ndarray, other: _Side) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """best_of_block for STEP queries at a time, so that no bound on pairs grows with the block."""
+        for at in range(0, len(query.ids), STEP):
+            part = _Side(query.ids[at : at + STEP], query.matrix[at : at + STEP], query.rotation)
+            found_q, found_id, score = best_of_block(part, other, floor[at : at + STEP], k)
+            yield found_q + at, found_id, score
 
     def seed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         top = _Side(first_ids, first_matrix, rotation)
         for part in parts:
             for _, row in part.iterrows():
                 query = _Side(*_matrix(row, width), rotation)
-                floor = np.full(len(query.ids), -(2.0**63))
-                found_q, _, score = best_of_block(query, top, floor, k)
-                start = np.searchsorted(found_q, found_q)
-                last = np.arange(len(found_q)) - start == k - 1
-                floor[found_q[last]] = score[last]
-                reach = np.where(query.length > 0, floor / np.maximum(query.length, 1e-300), np.where(floor > 0, np.inf, -np.inf))
+                floor = np.full(len(query.ids), NO_FLOOR)
+                for found_q, _, score in some(query, floor.copy(), top):
+                    start = np.searchsorted(found_q, found_q)
+                    last = np.arange(len(found_q)) - start == k - 1
+                    floor[found_q[last]] = score[last]
+                lowest = np.where(floor == NO_FLOOR, -np.inf, floor.astype(float))
+                reach = np.where(query.length > 0, lowest / np.maximum(query.length, 1e-300), np.where(lowest > 0, np.inf, -np.inf))
                 yield pd.DataFrame({"asking": [row["asking"]], "reach": [float(reach.min())], "ids": [row["ids"]], "data": [row["data"]], "floor": [floor.tobytes()]})
 
     asked = tables.keep(asked.mapInPandas(seed, "asking long, reach double, ids binary, data binary, floor binary"))
@@ -179,13 +194,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         row = right.iloc[0]
-        query = _Side(*_matrix(row, width), rotation)
-        found_q, found_id, score = best_of_block(query, _Side(*_matrix(left.iloc[0], width), rotation), np.frombuffer(row["floor"], float), k)
-        return pd.DataFrame({"query_id": query.ids[found_q], "vec_id": found_id, "score": score})
+        query, other = _Side(*_matrix(row, width), rotation), _Side(*_matrix(left.iloc[0], width), rotation)
+        rows = [pd.DataFrame({"query_id": query.ids[q], "asking": row["asking"], "place": q, "vec_id": i, "score": s}) for q, i, s in some(query, np.frombuffer(row["floor"], np.int64), other)]
+        return pd.concat(rows)
 
     keys = ["block", "asking"]
     left = others.select("block", "ids", "data").join(pairs, "block").groupBy(*keys)
     right = asked.select("asking", "ids", "data", "floor").join(pairs, "asking").groupBy(*keys)
-    found = left.cogroup(right).applyInPandas(search, "query_id long, vec_id long, score long")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    found = left.cogroup(right).applyInPandas(search, "query_id long, asking long, place long, vec_id long, score long")
+    place = F.row_number().over(W.partitionBy("asking", "place").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

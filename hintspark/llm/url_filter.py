@@ -13,7 +13,7 @@ from hintspark.plans.components import connected_components
 from hintspark.plans.shared import SharedTables
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+LINK = r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"""
 META = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 GOES_TO = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -61,7 +61,11 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): nodes of a page and of the target of its canonical link or its refresh redirect."""
+    """(src, dst): nodes of a page and of the target of its canonical link or its refresh redirect.
+
+    Targets without a scheme, a host or a leading slash stand beside the page; of dot segments only
+    a leading ./ is resolved. Targets of other schemes than those with :// tie nothing.
+    """
     html = F.coalesce(F.col(html_col), F.lit(""))
     links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1))
     moves = F.transform(F.regexp_extract_all(html, F.lit(META), F.lit(0)), lambda t: F.regexp_extract(t, GOES_TO, 1))
@@ -69,7 +73,15 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     raw = raw.select(F.col(url_col).alias("url"), F.explode(F.concat(links, moves)).alias("to")).withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
     scheme = F.regexp_extract("url", r"^(.*?)://", 1)
     site = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(F.col("url")), r"^([^/?#]*)", 1))
-    whole = F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to"))).when(F.startswith("to", F.lit("/")), F.concat(site, F.col("to"))).otherwise(F.col("to"))
+    folder = F.regexp_extract(url_path(F.col("url")), r"^(.*/)?", 0)
+    here = F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_replace("to", r"^(?:\./)+", ""))
+    whole = (
+        F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to")))
+        .when(F.startswith("to", F.lit("/")), F.concat(site, F.col("to")))
+        .when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("to"))
+        .when(F.startswith("to", F.lit("?")), F.concat(site, url_path(F.col("url")), F.col("to")))
+        .when(~F.startswith("to", F.lit("#")), here)
+    )
     return raw.select(url_node(F.col("url")).alias("src"), url_node(whole).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
 
 
@@ -86,7 +98,7 @@ def judge_urls(
     redirects (from_url, to_url) adds edges to those in the pages. Without a rule the verdict is
     block if a rule blocks an alias, which needn't be a page itself, else allow. Null URLs and such
     without :// have an empty host and path, no rule and no alias, and are allowed. Repeated rows
-    are judged alike; an empty table gives no rows.
+    are judged alike; an empty table gives no rows. Other columns of pages play no part.
     """
     url = F.col(url_col)
     edges = page_links(pages, url_col, html_col)

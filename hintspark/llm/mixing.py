@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from hintspark.plans.shared import SharedTables
+
 #: Words are runs of anything but the six ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one slice of a size class; a task sorts a few slices at most.
@@ -91,6 +93,7 @@ def _placed(docs: DataFrame, weights: tuple[int, ...], cap: int, id_col: str, te
         .withColumn("__slice", F.floor(F.col("__draw") * slices / 2.0**32).cast("int"))
     )
     counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.sum("__size").alias("__sum")).withColumn("__span", F.floor(F.col("__slice") / SPAN_SLICES).cast("int"))
+    counts = SharedTables(docs.sparkSession, "mixing").keep(counts)  # one row a slice; the texts aren't read again for each sum
     spans = counts.groupBy("__source", "__class", "__span").agg(F.sum("__n").alias("__n"), F.sum("__sum").alias("__sum"))
     classes = spans.groupBy("__source", "__class").agg(F.sum("__n").alias("__n"), F.sum("__sum").alias("__sum"))
     sizes = classes.groupBy(F.col("__source").alias("source")).agg(F.sum("__sum").alias("source_size"))

@@ -296,31 +296,34 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     pair, and all its nodes are neighbours of such a pair's ends. If m words at most of a text of n
     may be edited, it has a word among its m + 1 rarest in common with the m' + 1 rarest of any
     near-duplicate, whatever else they share; words of a passage that fills the bucket come last.
-    In each bucket and word, nodes outside its largest class meet all: at most twice the pairs that
-    lie in different classes.
+    Nodes meet by such a word, where those outside its largest class meet all: at most twice the
+    pairs that lie in different classes. Of these, the pairs with a pick in common are left.
     """
     of = placed.select(F.col("node").alias("node"), F.col("class").alias("component"))
     ends = tables.keep(_ends_of(_apart(pairs.select("u", "v"), of)))
     near = pairs.join(ends.withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).unionByName(ends).distinct()
     buckets = tables.keep(nodes.join(near, "node", "left_semi").join(placed.select("node", "class"), "node").select("node", "class", F.explode("picks").alias("pick")))
     several = buckets.groupBy("pick").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("pick")
-    members = tables.keep(buckets.join(several, "pick"))
+    members = tables.keep(buckets.join(several, "pick", "left_semi").select("node", "class").distinct())
     tables.drop(buckets)
-    words = tables.keep(_labelled_words(texts.join(members.select("node").distinct(), "node", "left_semi")))
+    words = tables.keep(_labelled_words(texts.join(members.select("node"), "node", "left_semi")))
     most = lambda n: F.floor((1 - similarity) * n + 1e-9).cast("int")
     counted = words.join(words.groupBy("word").agg(F.count("*").alias("texts")), "word")
     rarest = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "word"))).alias("w"))
-    rarest = rarest.select("node", "n", F.explode(F.slice("w", F.lit(1), most(F.col("n")) + 1)).alias("w")).where("w.texts > 1").select("node", "n", "w.word")
-    entries = tables.keep(members.join(rarest, "node"))
+    rarest = rarest.join(members, "node").select("node", "class", "n", F.explode(F.slice("w", F.lit(1), most(F.col("n")) + 1)).alias("w"))
+    entries = tables.keep(rarest.where("w.texts > 1").select("node", "class", "n", "w.word"))
     tables.drop(words)
-    sizes = entries.groupBy("pick", "word", "class").agg(F.count("*").alias("k")).groupBy("pick", "word")
+    sizes = entries.groupBy("word", "class").agg(F.count("*").alias("k")).groupBy("word")
     largest = sizes.agg(F.max(F.struct("k", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    sides = [entries.select("pick", "word", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "class", "n"))) for side in "uv"]
-    met = sides[0].join(largest, ["pick", "word"]).where("u_class <> largest").join(sides[1], ["pick", "word"])
+    sides = [entries.select("word", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "class", "n"))) for side in "uv"]
+    met = sides[0].join(largest, "word").where("u_class <> largest").join(sides[1], "word")
     met = met.where("u_class <> v_class AND (v_class = largest OR u_node < v_node)")
     met = met.where(F.abs(F.col("u_n") - F.col("v_n")) <= most(F.greatest("u_n", "v_n")))
     ordered = [F.when(F.col("u_node") < F.col("v_node"), F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(n) for a, b, c, n in (("u", "v", "node", "u"), ("v", "u", "node", "v"), ("u", "v", "class", "u_class"), ("v", "u", "class", "v_class"))]
-    return tables.keep(met.select(*ordered).distinct())
+    met = tables.keep(met.select(*ordered).distinct())
+    picks = nodes.join(members, "node", "left_semi")
+    both = met.join(picks.select(F.col("node").alias("u"), F.col("picks").alias("u_picks")), "u").join(picks.select(F.col("node").alias("v"), F.col("picks").alias("v_picks")), "v")
+    return tables.keep(both.where(F.arrays_overlap("u_picks", "v_picks")).select("u", "v", "u_class", "v_class"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

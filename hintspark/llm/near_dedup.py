@@ -20,6 +20,8 @@ from hintspark.plans.components import connected_components
 from hintspark.plans.shared import SharedTables, arrow_rows
 
 WORDS, PICKED, HASHES, SIMILARITY = 5, 3, 24, 0.8
+#: Rare words that two near-duplicates share at least, beyond those that may be edited.
+SHARED = 3
 _DRAW = np.random.default_rng(29)
 _MIX = _DRAW.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _HASH = _DRAW.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -294,10 +296,11 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
 
     A bucket's first node is paired with all others, so one that holds several classes has an apart
     pair, and all its nodes are neighbours of such a pair's ends. If m words at most of a text of n
-    may be edited, it has a word among its m + 1 rarest in common with the m' + 1 rarest of any
-    near-duplicate, whatever else they share; words of a passage that fills the bucket come last.
-    Nodes meet by such a word, where those outside its largest class meet all: at most twice the
-    pairs that lie in different classes. Of these, the pairs with a pick in common are left.
+    may be edited, it has SHARED words among its m + SHARED rarest in common with the m' + SHARED
+    rarest of any near-duplicate, whatever else they share; words of a passage that fills the bucket
+    come last. Nodes meet by such a word, where those outside its largest class meet all: at most
+    twice the pairs that lie in different classes. Of these, the pairs that met by as many words
+    (a text of fewer by all its words) and have a pick in common are left.
     """
     of = placed.select(F.col("node").alias("node"), F.col("class").alias("component"))
     ends = tables.keep(_ends_of(_apart(pairs.select("u", "v"), of)))
@@ -310,7 +313,7 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     most = lambda n: F.floor((1 - similarity) * n + 1e-9).cast("int")
     counted = words.join(words.groupBy("word").agg(F.count("*").alias("texts")), "word")
     rarest = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "word"))).alias("w"))
-    rarest = rarest.join(members, "node").select("node", "class", "n", F.explode(F.slice("w", F.lit(1), most(F.col("n")) + 1)).alias("w"))
+    rarest = rarest.join(members, "node").select("node", "class", "n", F.explode(F.slice("w", F.lit(1), most(F.col("n")) + SHARED)).alias("w"))
     entries = tables.keep(rarest.where("w.texts > 1").select("node", "class", "n", "w.word"))
     tables.drop(words)
     sizes = entries.groupBy("word", "class").agg(F.count("*").alias("k")).groupBy("word")
@@ -320,7 +323,9 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     met = met.where("u_class <> v_class AND (v_class = largest OR u_node < v_node)")
     met = met.where(F.abs(F.col("u_n") - F.col("v_n")) <= most(F.greatest("u_n", "v_n")))
     ordered = [F.when(F.col("u_node") < F.col("v_node"), F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(n) for a, b, c, n in (("u", "v", "node", "u"), ("v", "u", "node", "v"), ("u", "v", "class", "u_class"), ("v", "u", "class", "v_class"))]
-    met = tables.keep(met.select(*ordered).distinct())
+    need = F.least(F.lit(SHARED), "u_n", "v_n")
+    met = met.select(*ordered, need.alias("need")).groupBy("u", "v", "u_class", "v_class").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
+    met = tables.keep(met.where("shared >= need").drop("shared", "need"))
     picks = nodes.join(members, "node", "left_semi")
     both = met.join(picks.select(F.col("node").alias("u"), F.col("picks").alias("u_picks")), "u").join(picks.select(F.col("node").alias("v"), F.col("picks").alias("v_picks")), "v")
     return tables.keep(both.where(F.arrays_overlap("u_picks", "v_picks")).select("u", "v", "u_class", "v_class"))

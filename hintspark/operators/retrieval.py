@@ -162,7 +162,8 @@ def interleave(ranks: DataFrame, query_id: str, id_col: str, mode: str = "baseli
         hint = frame.dropna(subset=["hint_rank"]).sort_values("hint_rank")[id_col].tolist()
         order = dict.fromkeys(base[:prefix] if mode == "after_prefix" else [])
         sides = [iter(base), iter(hint)] if mode != "hint_first" else [iter(hint), iter(base)]
-        while len(order) < len(base):
+        count = len(set(base))  # an id that is repeated is emitted once
+        while len(order) < count:
             for side in sides:
                 order.update(dict.fromkeys([next((x for x in side if x not in order), None)]))
             order.pop(None, None)

@@ -29,7 +29,7 @@ def _features(kind):
 def _crossed(tokens):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs = _turn_pairs(spark, sf_dir)
-        return _summed(H.with_cross_features(pairs, ["conv_id", "turn"], F.slice(tokens(F.col("query")), 1, 64), F.slice(tokens(F.col("reply")), 1, 64)), ["conv_id", "turn"])
+        return _summed(H.with_cross_features(pairs, ["conv_id", "turn"], tokens(F.col("query")), tokens(F.col("reply"))), ["conv_id", "turn"])
 
     return run
 
@@ -256,12 +256,17 @@ QUERIES["q2_quantize_vectors"] = (
 
 
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each passage's first eight documents by cross features of their first 64 words, with weights of alternating sign."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(X.words(F.col("text")), 1, 64).alias("d"))
-    top = R.bm25_topk(_scores(spark, sf_dir), 8).join(docs, "doc_id").join(_items(spark, sf_dir).select("query_id", F.slice(X.words(F.col("text")), 1, 64).alias("q")), "query_id")
-    found = H.with_cross_features(top, ["query_id", "doc_id", "rank"], F.col("q"), F.col("d"))
+    """Each passage's first eight documents by cross features, with weights of alternating sign.
+
+    A pair with a text over 64 words or 4,096 bytes is out of scope, so its passage keeps its order.
+    """
+    side = lambda frame, key, name: frame.select(key, X.words(F.col("text")).alias(name), (F.octet_length("text") <= 4096).alias(f"{name}_fits"))
+    top = R.bm25_topk(_scores(spark, sf_dir), 8).join(side(table(spark, sf_dir, "documents"), "doc_id", "d"), "doc_id").join(side(_items(spark, sf_dir), "query_id", "q"), "query_id")
+    fits = F.coalesce(F.col("d_fits") & F.col("q_fits") & (F.size("d") <= 64) & (F.size("q") <= 64), F.lit(False))
+    some = lambda c: F.when(F.col("in_scope"), F.col(c)).otherwise(F.array().cast("array<string>"))
+    found = H.with_cross_features(top.withColumn("in_scope", fits), ["query_id", "doc_id", "rank", "in_scope"], some("q"), some("d"))
     score = F.aggregate("features", F.lit(0.0), lambda s, f: s + f["val"] * F.when(f["idx"] == 0, 5.0).when(f["idx"] % 2 == 0, 0.1).otherwise(-0.1))
-    return R.linear_rerank(found, "query_id", "doc_id", score, F.size("features") > 0).drop("features")
+    return R.linear_rerank(found, "query_id", "doc_id", score, F.col("in_scope")).drop("features", "in_scope")
 
 
 QUERIES["r16_linear_rerank"] = (_reranked, None)

@@ -201,7 +201,7 @@ QUERIES["r14_helper_explicit_path"] = (
 
 def _merged(mode: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        top = R.bm25_topk(_scores(spark, sf_dir), 40).withColumnRenamed("rank", "baseline_rank")
+        top = R.ranked(_scores(spark, sf_dir), ["query_id"], [F.col("score").desc(), F.col("doc_id")]).withColumnRenamed("rank", "baseline_rank")
         hints = R.ranked(top.where("doc_id % 3 <> 0"), ["query_id"], [F.sha2(F.col("doc_id").cast("string"), 256)]).select("query_id", "doc_id", F.col("rank").alias("hint_rank"))
         return R.interleave(top.join(hints, ["query_id", "doc_id"], "left"), "query_id", "doc_id", mode, 5)
 

@@ -87,8 +87,8 @@ def _roles_of_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources joined by shared starts are a unit; whole units fill the roles."""
     docs = _docs(spark, sf_dir).select("doc_id", F.substring("source", 4, 9).cast("long").alias("repo"), _KEY().alias("start"))
     repos = docs.select("repo").distinct()
-    firsts = docs.where("start <> '' AND doc_id % 40 = 0").groupBy("start").agg(F.min("repo").alias("first"))
-    linked = docs.where("doc_id % 40 = 0").join(firsts, "start").where("repo <> first").select(F.col("repo").alias("u"), F.col("first").alias("v"))
+    firsts = docs.where("start <> ''").groupBy("start").agg(F.min("repo").alias("first"))
+    linked = docs.join(firsts, "start").where("repo <> first").select(F.col("repo").alias("u"), F.col("first").alias("v"))
     from hintspark.plans.components import connected_components
 
     units = repos.join(connected_components(linked).withColumnRenamed("node", "repo"), "repo", "left").select("repo", F.coalesce("component", "repo").alias("unit"))
@@ -99,7 +99,7 @@ def _roles_of_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["g6_partition_roles"] = (
     _roles_of_units,
     f"""WITH RECURSIVE k AS (SELECT doc_id, substr(source, 4)::BIGINT AS repo, {_KEY_SQL} AS start FROM documents),
-    star AS (SELECT repo, min(repo) OVER (PARTITION BY start) AS first FROM k WHERE start <> '' AND doc_id % 40 = 0),
+    star AS (SELECT repo, min(repo) OVER (PARTITION BY start) AS first FROM k WHERE start <> ''),
     edges AS (SELECT repo AS a, first AS b FROM star UNION SELECT first, repo FROM star),
     reach AS (SELECT DISTINCT repo, repo AS r FROM k UNION SELECT reach.repo, edges.b FROM reach JOIN edges ON reach.r = edges.a),
     u AS (SELECT repo, min(r) AS unit FROM reach GROUP BY repo), g AS (SELECT unit, count(*) AS size, sha256('role:' || unit) AS o FROM k JOIN u USING (repo) GROUP BY unit),

@@ -93,7 +93,10 @@ def read_tree_catalogs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zip_members(spark: SparkSession, path: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """archive, member, bytes, content (null if oversize) of the files of archives that have one root folder."""
+    """archive, member, bytes, content (null if oversize) and problem of archives' files.
+
+    An archive with more than one root folder gives one row without a member and the problem many_roots.
+    """
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
 
     def members(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,12 +105,13 @@ def read_zip_members(spark: SparkSession, path: str, most_bytes: int = 1 << 20)
                 with zipfile.ZipFile(io.BytesIO(content)) as packed:
                     entries = [e for e in packed.infolist() if not e.is_dir()]
                     if len({e.filename.split("/")[0] for e in entries}) > 1:
+                        yield pd.DataFrame({"archive": [archive], "member": [None], "bytes": [None], "content": [None], "problem": ["many_roots"]})
                         continue
                     for e in entries:
                         data = packed.read(e) if e.file_size <= most_bytes else None
-                        yield pd.DataFrame({"archive": [archive], "member": [e.filename], "bytes": [e.file_size], "content": [data]})
+                        yield pd.DataFrame({"archive": [archive], "member": [e.filename], "bytes": [e.file_size], "content": [data], "problem": [None]})
 
-    return files.mapInPandas(members, "archive string, member string, bytes long, content binary")
+    return files.mapInPandas(members, "archive string, member string, bytes long, content binary, problem string")
 
 
 def write_once(rows: DataFrame, path: str, by: list[str] | None = None, form: str = "parquet") -> None:

@@ -123,20 +123,25 @@ def stream_trace_summary(events: DataFrame, idle_time: str = "1 hour") -> DataFr
     """A stream of summaries from a stream of (trace string, seq bigint, kind string, ts timestamp).
 
     Every batch updates the traces that it holds; a trace without events for idle_time leaves the
-    state, its last summary standing. Events of a trace must not arrive in a later batch than ones
+    state; if it wasn't complete, its summary as incomplete is emitted then. Events of a trace must not arrive in a later batch than ones
     with greater numbers: such a trace is broken.
     """
 
+    idle = int(pd.Timedelta(idle_time).total_seconds() * 1000)
+
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
+            last = _summary(key[0], list(state.get))
             state.remove()
+            if last.iloc[0, -1] == "incomplete":
+                yield last
             return
         held = list(state.get) if state.exists else [0] * len(COUNTS) + [False, False, False, -1]
         rows = pd.concat(list(parts)).sort_values("seq")
         for kind, seq in zip(rows["kind"], rows["seq"]):
             _advance(held, kind, int(seq))
         state.update(tuple(held))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + 3_600_000)
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + idle)
         yield _summary(key[0], held)
 
     return events.withWatermark("ts", idle_time).groupBy("trace").applyInPandasWithState(update, SUMMARY, STATE, "update", GroupStateTimeout.EventTimeTimeout)

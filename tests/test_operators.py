@@ -185,3 +185,8 @@ def test_trace_summary(spark):
     assert {r["trace"]: r["status"] for r in summary.collect()} == {"t": "completed_turns", "f": "observed_failure", "o": "incomplete", "u": "unknown_controls", "b": "invalid_lifecycle"}
     usage = {r["field"]: (r["observed"], r["missing"], r["total"]) for r in traces.usage_totals(events, summary, "trace").where("trace = 't'").collect()}
     assert usage == {"input_tokens": (30, 0, 30), "cached_input_tokens": (9, 0, 9), "output_tokens": (10, 0, 10), "reasoning_output_tokens": (2, 1, None)}
+
+
+def test_interleave_ends_on_repeated_ids(spark):
+    rows = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 2, 1), (1, 2, 3, None)], "q int, d int, baseline_rank int, hint_rank int")
+    assert [r["d"] for r in R.interleave(rows, "q", "d").orderBy("rank").collect()] == [1, 2]

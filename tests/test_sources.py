@@ -28,7 +28,7 @@ def test_zip_members(spark, tmp_path):
             for m, data in members.items():
                 z.writestr(m, data)
     rows = S.read_zip_members(spark, f"{tmp_path}/*.zip", 10).collect()
-    assert sorted((r["archive"], r["member"], r["bytes"], r["content"] and bytes(r["content"])) for r in rows) == [("one.zip", "r/a", 1, b"1"), ("one.zip", "r/b/c", 20, None)]
+    assert sorted((r["archive"], r["member"], r["bytes"], r["content"] and bytes(r["content"]), r["problem"]) for r in rows) == [("one.zip", "r/a", 1, b"1", None), ("one.zip", "r/b/c", 20, None, None), ("two.zip", None, None, None, "many_roots")]
 
 
 def test_write_once(spark, tmp_path):

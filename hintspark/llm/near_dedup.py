@@ -20,8 +20,9 @@ from hintspark.plans.components import connected_components
 from hintspark.plans.shared import SharedTables, arrow_rows
 
 WORDS, PICKED, HASHES, SIMILARITY = 5, 3, 24, 0.8
-#: Rare words that two near-duplicates share at least, beyond those that may be edited.
-SHARED = 3
+#: Rare word pairs that two near-duplicates share at least, beyond those that edits may break, and
+#: the bins that tell rare from frequent; bins change what is compared first, never the result.
+SHARED, BINS = 3, 2**20
 _DRAW = np.random.default_rng(29)
 _MIX = _DRAW.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _HASH = _DRAW.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -33,10 +34,10 @@ def _scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def labelled_kmers(words: np.ndarray) -> np.ndarray:
-    """A hash for every k-mer and its occurrence; a text of fewer than five words is one k-mer."""
+def labelled_kmers(words: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """A hash for every k-mer and its occurrence; a text of fewer words than size is one k-mer."""
     wide = words.astype(np.uint64) + np.uint64(1)
-    size = min(WORDS, len(wide))
+    size = min(size, len(wide))
     if not size:
         return np.zeros(0, np.uint64)
     count = len(wide) - size + 1
@@ -151,7 +152,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
 
 def text_node(text: Column) -> Column:
     """A digest of a text's lower-case words; null and empty texts have the one of no words."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " ")))
+    return F.unhex(F.md5(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+", " "))))
 
 
 def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -159,7 +160,7 @@ def _sketched(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     given = docs.select(F.col(id_col).alias("id"), text_node(text).alias("node"), F.lower(F.coalesce(text, F.lit(""))).cast("binary").alias("text"))
     schema = T.StructType([
-        given.schema["id"], T.StructField("node", T.StringType()), T.StructField("n_words", T.LongType()),
+        given.schema["id"], T.StructField("node", T.BinaryType()), T.StructField("n_words", T.LongType()),
         T.StructField("picks", T.ArrayType(T.LongType())), T.StructField("words", T.BinaryType()),
     ])
 
@@ -198,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, keep: tuple
                 good.append(edit_distance(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9)) is not None)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in part.columns[:2]], names=[*keep])
 
-    return both.mapInArrow(align, f"{keep[0]} string, {keep[1]} string")
+    return both.mapInArrow(align, f"{keep[0]} binary, {keep[1]} binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -210,14 +211,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and the last node and one drawn anew for each bucket. The pair that most buckets propose for a
     node is verified first, and of the others all that lie in different classes after that. Of the
     pairs without a centre, all are verified that lie in different classes even then, but for those
-    that can't be near-duplicates by their lengths or their rarest words.
+    that can't be near-duplicates by their lengths or their rarest word pairs.
     Null ids are never a class_id if another id is there. Repeated rows share a class; an empty
     table gives no rows. Other columns of docs, whatever their names, play no part.
 
     Two texts with at least 0.8 of their labelled k-mers in common share a bucket but for one case
     in 10**7. Buckets are never cut: minima and maxima are partial aggregates, the joins can be
-    split. Only nodes of different classes that share one of their rarest words are expanded into
-    pairs.
+    split. Only nodes of different classes that share one of their rarest word pairs are expanded
+    into pairs.
     """
     return _classes(docs, id_col, text_col, similarity).select(F.col("id").alias(id_col), "class_id", "n_words")
 
@@ -277,30 +278,65 @@ def _joined(placed: DataFrame, links: DataFrame, tables: SharedTables) -> DataFr
     return placed.join(final, F.col("class") == F.col("__old"), "left").select("node", "id", F.coalesce("__new", "class").alias("class"))
 
 
-def _labelled_words(texts: DataFrame) -> DataFrame:
-    """node, n (its words) and one row for each word, which holds its occurrence, so that repeats count."""
+def word_pairs(words: np.ndarray) -> np.ndarray:
+    """A hash for every two words in a row and its occurrence; both ends of the text count as words."""
+    end = np.full(1, 2**32, np.uint64)
+    return labelled_kmers(np.concatenate([end, words.astype(np.uint64), end]), 2)
 
-    def label(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def needed(n: np.ndarray | int) -> np.ndarray:
+    """Rare word pairs that a text of n words must share with a near-duplicate that needs as many or more."""
+    return np.minimum(SHARED + n // 20, n + 1)
+
+
+def _levels(texts: DataFrame) -> np.ndarray:
+    """How frequent the word pairs of each bin are: zero for one at most, four more for twice as many."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BINS, np.int64)
+        for part in parts:
+            for raw in part.column(0):
+                np.add.at(total, word_pairs(np.frombuffer(raw.as_py(), np.uint32)) % np.uint64(BINS), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bin", "n"])
+
+    counted = texts.select("words").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    levels = np.zeros(BINS, np.uint8)
+    levels[counted["bin"].to_numpy(np.int64)] = np.ceil(4 * np.log2(counted["n"].to_numpy(np.float64)))
+    return levels
+
+
+def _rare_pairs(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
+    """node, class, n (its words) and one row for each of a text's rarest word pairs, if another text can have it."""
+
+    def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for node, raw in zip(part.column(0).to_pylist(), part.column(1)):
-                words = np.sort(np.frombuffer(raw.as_py(), np.uint32)).astype(np.int64)
-                occurrence = np.arange(len(words)) - np.searchsorted(words, words)
-                columns = [pa.array([node] * len(words), pa.string()), pa.array(np.full(len(words), len(words))), pa.array(words | occurrence << 32)]
-                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "word"])
+            sizes, chosen = [], []
+            for raw in part.column(2):
+                words = np.frombuffer(raw.as_py(), np.uint32)
+                found = word_pairs(words)
+                level = levels[found % np.uint64(BINS)]
+                rarest = np.lexsort((found, level))[: int(2 * (1 - similarity) * len(words) + 1e-9) + int(needed(len(words)))]
+                sizes.append(len(words))
+                chosen.append(found[rarest][level[rarest] > 0].view(np.int64))
+            at = np.repeat(np.arange(len(sizes)), [len(c) for c in chosen])
+            columns = [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at]), pa.array(np.concatenate([np.zeros(0, np.int64), *chosen]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "class", "n", "word"])
 
-    return texts.select("node", "words").mapInArrow(label, "node string, n long, word long")
+    return texts.select("node", "class", "words").mapInArrow(choose, "node binary, class binary, n long, word long")
 
 
 def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts: DataFrame, similarity: float, tables: SharedTables) -> DataFrame:
     """(u, v, u_class, v_class): all pairs of a bucket that lie in different classes and can be near-duplicates.
 
     A bucket's first node is paired with all others, so one that holds several classes has an apart
-    pair, and all its nodes are neighbours of such a pair's ends. If m words at most of a text of n
-    may be edited, it has SHARED words among its m + SHARED rarest in common with the m' + SHARED
-    rarest of any near-duplicate, whatever else they share; words of a passage that fills the bucket
-    come last. Nodes meet by such a word, where those outside its largest class meet all: at most
-    twice the pairs that lie in different classes. Of these, the pairs that met by as many words
-    (a text of fewer by all its words) and have a pick in common are left.
+    pair, and all its nodes are neighbours of such a pair's ends. An edit breaks two word pairs at
+    most, so of the n + 1 of a text of n words a near-duplicate lacks 2 m if m words may be edited:
+    it has needed(n) of the 2 m + needed(n) rarest in common with those of any near-duplicate that
+    needs as many, in whatever order both are ranked; pairs of a passage that fills the bucket come
+    last. Nodes meet by such a word pair, where those outside its largest class meet all: at most
+    twice the node pairs that lie in different classes. Of these, the ones that met by as many word
+    pairs as both need and have a pick in common are left.
     """
     of = placed.select(F.col("node").alias("node"), F.col("class").alias("component"))
     ends = tables.keep(_ends_of(_apart(pairs.select("u", "v"), of)))
@@ -309,13 +345,10 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     several = buckets.groupBy("pick").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("pick")
     members = tables.keep(buckets.join(several, "pick", "left_semi").select("node", "class").distinct())
     tables.drop(buckets)
-    words = tables.keep(_labelled_words(texts.join(members.select("node"), "node", "left_semi")))
     most = lambda n: F.floor((1 - similarity) * n + 1e-9).cast("int")
-    counted = words.join(words.groupBy("word").agg(F.count("*").alias("texts")), "word")
-    rarest = counted.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "word"))).alias("w"))
-    rarest = rarest.join(members, "node").select("node", "class", "n", F.explode(F.slice("w", F.lit(1), most(F.col("n")) + SHARED)).alias("w"))
-    entries = tables.keep(rarest.where("w.texts > 1").select("node", "class", "n", "w.word"))
-    tables.drop(words)
+    told = tables.keep(texts.join(members, "node"))
+    entries = tables.keep(_rare_pairs(told, _levels(told), similarity))
+    tables.drop(told)
     sizes = entries.groupBy("word", "class").agg(F.count("*").alias("k")).groupBy("word")
     largest = sizes.agg(F.max(F.struct("k", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
     sides = [entries.select("word", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "class", "n"))) for side in "uv"]
@@ -323,7 +356,8 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     met = met.where("u_class <> v_class AND (v_class = largest OR u_node < v_node)")
     met = met.where(F.abs(F.col("u_n") - F.col("v_n")) <= most(F.greatest("u_n", "v_n")))
     ordered = [F.when(F.col("u_node") < F.col("v_node"), F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(n) for a, b, c, n in (("u", "v", "node", "u"), ("v", "u", "node", "v"), ("u", "v", "class", "u_class"), ("v", "u", "class", "v_class"))]
-    need = F.least(F.lit(SHARED), "u_n", "v_n")
+    fewer = F.least("u_n", "v_n")
+    need = F.least(SHARED + F.floor(fewer / 20), fewer + 1)
     met = met.select(*ordered, need.alias("need")).groupBy("u", "v", "u_class", "v_class").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
     met = tables.keep(met.where("shared >= need").drop("shared", "need"))
     picks = nodes.join(members, "node", "left_semi")

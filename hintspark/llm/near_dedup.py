@@ -20,8 +20,8 @@ from hintspark.plans.components import connected_components
 from hintspark.plans.shared import SharedTables, arrow_rows
 
 WORDS, PICKED, HASHES, SIMILARITY = 5, 3, 24, 0.8
-#: Rare word pairs that two near-duplicates share at least, beyond those that edits may break, and
-#: the bins that tell rare from frequent; bins change what is compared first, never the result.
+#: Rare words that two near-duplicates share at least, beyond those that may be edited, and the bins
+#: that tell rare from frequent; bins change what is compared first, never the result.
 SHARED, BINS = 3, 2**20
 _DRAW = np.random.default_rng(29)
 _MIX = _DRAW.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,14 +211,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and the last node and one drawn anew for each bucket. The pair that most buckets propose for a
     node is verified first, and of the others all that lie in different classes after that. Of the
     pairs without a centre, all are verified that lie in different classes even then, but for those
-    that can't be near-duplicates by their lengths or their rarest word pairs.
+    that can't be near-duplicates by their lengths or their rarest words.
     Null ids are never a class_id if another id is there. Repeated rows share a class; an empty
     table gives no rows. Other columns of docs, whatever their names, play no part.
 
     Two texts with at least 0.8 of their labelled k-mers in common share a bucket but for one case
     in 10**7. Buckets are never cut: minima and maxima are partial aggregates, the joins can be
-    split. Only nodes of different classes that share one of their rarest word pairs are expanded
-    into pairs.
+    split. Only nodes of different classes that share one of their rarest words are expanded into
+    pairs.
     """
     return _classes(docs, id_col, text_col, similarity).select(F.col("id").alias(id_col), "class_id", "n_words")
 
@@ -278,25 +278,19 @@ def _joined(placed: DataFrame, links: DataFrame, tables: SharedTables) -> DataFr
     return placed.join(final, F.col("class") == F.col("__old"), "left").select("node", "id", F.coalesce("__new", "class").alias("class"))
 
 
-def word_pairs(words: np.ndarray) -> np.ndarray:
-    """A hash for every two words in a row and its occurrence; both ends of the text count as words."""
-    end = np.full(1, 2**32, np.uint64)
-    return labelled_kmers(np.concatenate([end, words.astype(np.uint64), end]), 2)
-
-
-def needed(n: np.ndarray | int) -> np.ndarray:
-    """Rare word pairs that a text of n words must share with a near-duplicate that needs as many or more."""
-    return np.minimum(SHARED + n // 20, n + 1)
+def needed(n: int) -> int:
+    """Rare words that a text of n words must share with a near-duplicate that needs as many or more."""
+    return min(SHARED + n // 20, n)
 
 
 def _levels(texts: DataFrame) -> np.ndarray:
-    """How frequent the word pairs of each bin are: zero for one at most, four more for twice as many."""
+    """How frequent the labelled words of each bin are: zero for one at most, four more for twice as many."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
         for part in parts:
             for raw in part.column(0):
-                np.add.at(total, word_pairs(np.frombuffer(raw.as_py(), np.uint32)) % np.uint64(BINS), 1)
+                np.add.at(total, labelled_kmers(np.frombuffer(raw.as_py(), np.uint32), 1) % np.uint64(BINS), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bin", "n"])
 
@@ -306,17 +300,17 @@ def _levels(texts: DataFrame) -> np.ndarray:
     return levels
 
 
-def _rare_pairs(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """node, class, n (its words) and one row for each of a text's rarest word pairs, if another text can have it."""
+def _rare_words(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
+    """node, class, n (its words) and one row for each of a text's rarest labelled words, if another text can have it."""
 
     def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             sizes, chosen = [], []
             for raw in part.column(2):
                 words = np.frombuffer(raw.as_py(), np.uint32)
-                found = word_pairs(words)
+                found = labelled_kmers(words, 1)
                 level = levels[found % np.uint64(BINS)]
-                rarest = np.lexsort((found, level))[: int(2 * (1 - similarity) * len(words) + 1e-9) + int(needed(len(words)))]
+                rarest = np.lexsort((found, level))[: int((1 - similarity) * len(words) + 1e-9) + needed(len(words))]
                 sizes.append(len(words))
                 chosen.append(found[rarest][level[rarest] > 0].view(np.int64))
             at = np.repeat(np.arange(len(sizes)), [len(c) for c in chosen])
@@ -330,13 +324,13 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     """(u, v, u_class, v_class): all pairs of a bucket that lie in different classes and can be near-duplicates.
 
     A bucket's first node is paired with all others, so one that holds several classes has an apart
-    pair, and all its nodes are neighbours of such a pair's ends. An edit breaks two word pairs at
-    most, so of the n + 1 of a text of n words a near-duplicate lacks 2 m if m words may be edited:
-    it has needed(n) of the 2 m + needed(n) rarest in common with those of any near-duplicate that
-    needs as many, in whatever order both are ranked; pairs of a passage that fills the bucket come
-    last. Nodes meet by such a word pair, where those outside its largest class meet all: at most
-    twice the node pairs that lie in different classes. Of these, the ones that met by as many word
-    pairs as both need and have a pick in common are left.
+    pair, and all its nodes are neighbours of such a pair's ends. Words are labelled with their
+    occurrence. A near-duplicate of a text of n words lacks m of them at most, a fifth; it has
+    needed(n) of the m + needed(n) rarest in common with those of any near-duplicate that needs as
+    many, in whatever order both are ranked; words of a passage that fills the bucket come last.
+    Nodes meet by such a word, where those outside its largest class meet all: at most twice the
+    pairs that lie in different classes. Of these, the ones that met by as many words as both need
+    and have a pick in common are left.
     """
     of = placed.select(F.col("node").alias("node"), F.col("class").alias("component"))
     ends = tables.keep(_ends_of(_apart(pairs.select("u", "v"), of)))
@@ -347,7 +341,7 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     tables.drop(buckets)
     most = lambda n: F.floor((1 - similarity) * n + 1e-9).cast("int")
     told = tables.keep(texts.join(members, "node"))
-    entries = tables.keep(_rare_pairs(told, _levels(told), similarity))
+    entries = tables.keep(_rare_words(told, _levels(told), similarity))
     tables.drop(told)
     sizes = entries.groupBy("word", "class").agg(F.count("*").alias("k")).groupBy("word")
     largest = sizes.agg(F.max(F.struct("k", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
@@ -357,7 +351,7 @@ def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts:
     met = met.where(F.abs(F.col("u_n") - F.col("v_n")) <= most(F.greatest("u_n", "v_n")))
     ordered = [F.when(F.col("u_node") < F.col("v_node"), F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(n) for a, b, c, n in (("u", "v", "node", "u"), ("v", "u", "node", "v"), ("u", "v", "class", "u_class"), ("v", "u", "class", "v_class"))]
     fewer = F.least("u_n", "v_n")
-    need = F.least(SHARED + F.floor(fewer / 20), fewer + 1)
+    need = F.least(SHARED + F.floor(fewer / 20), fewer)
     met = met.select(*ordered, need.alias("need")).groupBy("u", "v", "u_class", "v_class").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
     met = tables.keep(met.where("shared >= need").drop("shared", "need"))
     picks = nodes.join(members, "node", "left_semi")

@@ -356,6 +356,24 @@ def test_copies_with_a_shared_passage_are_found_without_a_centre(spark):
     assert got == {k: k // 2 * 2 for k in range(240)}
 
 
+def test_near_duplicates_share_rare_words_in_any_order(spark):
+    rng, rows, pairs = np.random.default_rng(4), [], []
+    for i in range(120):
+        a = [int(w) for w in rng.integers(0, 80, rng.integers(1, 160))]
+        b = list(a)
+        for _ in range(int(rng.integers(0, len(a) // 5 + 1))):
+            at, kind = int(rng.integers(0, len(b))), rng.integers(0, 3)
+            b[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(0, 80))]
+        pairs.append((len(a), len(b)))
+        rows += [(f"{i} {side}".encode(), b"", np.array(words, np.uint32).tobytes()) for side, words in (("a", a), ("b", b))]
+    levels = rng.integers(1, 200, near_dedup.BINS).astype(np.uint8)
+    found = {}
+    for r in near_dedup._rare_words(spark.createDataFrame(rows, "node binary, class binary, words binary"), levels, 0.8).collect():
+        found.setdefault(bytes(r["node"]).decode(), set()).add(r["word"])
+    for i, (n, m) in enumerate(pairs):
+        assert len(found[f"{i} a"] & found[f"{i} b"]) >= min(near_dedup.needed(n), near_dedup.needed(m))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dedup.near_duplicates(docs(spark, ODD)).collect()
     assert len(got) == len(ODD) and {r["class_id"] for r in got if r["doc_id"] in (3, 4)} == {3}

@@ -217,8 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts with at least 0.8 of their labelled k-mers in common share a bucket but for one case
     in 10**7. Buckets are never cut: minima and maxima are partial aggregates, the joins can be
-    split. Only nodes of different classes that share one of their rarest words are expanded into
-    pairs.
+    split. Only nodes of different classes that share enough of their rarest words are expanded
+    into pairs.
     """
     return _classes(docs, id_col, text_col, similarity).select(F.col("id").alias(id_col), "class_id", "n_words")
 
@@ -301,62 +301,56 @@ def _levels(texts: DataFrame) -> np.ndarray:
 
 
 def _rare_words(texts: DataFrame, levels: np.ndarray, similarity: float) -> DataFrame:
-    """node, class, n (its words) and one row for each of a text's rarest labelled words, if another text can have it."""
+    """texts (node, class, picks, words) with n, how many words there are, and rare, the rarest labelled ones that another text can have."""
+    names = ["node", "class", "picks", "n", "rare"]
 
     def choose(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             sizes, chosen = [], []
-            for raw in part.column(2):
+            for raw in part.column(3):
                 words = np.frombuffer(raw.as_py(), np.uint32)
                 found = labelled_kmers(words, 1)
                 level = levels[found % np.uint64(BINS)]
                 rarest = np.lexsort((found, level))[: int((1 - similarity) * len(words) + 1e-9) + needed(len(words))]
                 sizes.append(len(words))
                 chosen.append(found[rarest][level[rarest] > 0].view(np.int64))
-            at = np.repeat(np.arange(len(sizes)), [len(c) for c in chosen])
-            columns = [part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(np.array(sizes, np.int64)[at]), pa.array(np.concatenate([np.zeros(0, np.int64), *chosen]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "class", "n", "word"])
+            columns = [*part.columns[:3], pa.array(sizes, pa.int64()), pa.array(chosen, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return texts.select("node", "class", "words").mapInArrow(choose, "node binary, class binary, n long, word long")
+    return texts.select(*names[:3], "words").mapInArrow(choose, "node binary, class binary, picks array<long>, n long, rare array<long>")
 
 
 def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts: DataFrame, similarity: float, tables: SharedTables) -> DataFrame:
     """(u, v, u_class, v_class): all pairs of a bucket that lie in different classes and can be near-duplicates.
 
     A bucket's first node is paired with all others, so one that holds several classes has an apart
-    pair, and all its nodes are neighbours of such a pair's ends. Words are labelled with their
-    occurrence. A near-duplicate of a text of n words lacks m of them at most, a fifth; it has
-    needed(n) of the m + needed(n) rarest in common with those of any near-duplicate that needs as
-    many, in whatever order both are ranked; words of a passage that fills the bucket come last.
-    Nodes meet by such a word, where those outside its largest class meet all: at most twice the
-    pairs that lie in different classes. Of these, the ones that met by as many words as both need
-    and have a pick in common are left.
+    pair, and all its nodes are neighbours of such a pair's ends. In such a bucket the nodes outside
+    its largest class meet all: at most twice the pairs that lie in different classes. A pair comes
+    from the least pick that it shares, and only if its lengths and rarest words allow it. Words are
+    labelled with their occurrence. A near-duplicate of a text of n words lacks m of them at most, a
+    fifth; it has needed(n) of the m + needed(n) rarest in common with those of any near-duplicate
+    that needs as many, in whatever order both are ranked; words of a passage that fills the bucket
+    come last. All this is part of the join's condition, so that no pair that fails it is written.
     """
     of = placed.select(F.col("node").alias("node"), F.col("class").alias("component"))
     ends = tables.keep(_ends_of(_apart(pairs.select("u", "v"), of)))
     near = pairs.join(ends.withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).unionByName(ends).distinct()
     buckets = tables.keep(nodes.join(near, "node", "left_semi").join(placed.select("node", "class"), "node").select("node", "class", F.explode("picks").alias("pick")))
-    several = buckets.groupBy("pick").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("pick")
-    members = tables.keep(buckets.join(several, "pick", "left_semi").select("node", "class").distinct())
-    tables.drop(buckets)
-    most = lambda n: F.floor((1 - similarity) * n + 1e-9).cast("int")
+    sizes = buckets.groupBy("pick", "class").agg(F.count("*").alias("k")).groupBy("pick")
+    several = tables.keep(sizes.agg(F.max(F.struct("k", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("pick", "largest"))
+    members = buckets.join(several, "pick", "left_semi").groupBy("node", "class").agg(F.array_sort(F.collect_set("pick")).alias("picks"))
     told = tables.keep(texts.join(members, "node"))
+    tables.drop(buckets)
     entries = tables.keep(_rare_words(told, _levels(told), similarity))
     tables.drop(told)
-    sizes = entries.groupBy("word", "class").agg(F.count("*").alias("k")).groupBy("word")
-    largest = sizes.agg(F.max(F.struct("k", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    sides = [entries.select("word", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "class", "n"))) for side in "uv"]
-    met = sides[0].join(largest, "word").where("u_class <> largest").join(sides[1], "word")
-    met = met.where("u_class <> v_class AND (v_class = largest OR u_node < v_node)")
-    met = met.where(F.abs(F.col("u_n") - F.col("v_n")) <= most(F.greatest("u_n", "v_n")))
-    ordered = [F.when(F.col("u_node") < F.col("v_node"), F.col(f"{a}_{c}")).otherwise(F.col(f"{b}_{c}")).alias(n) for a, b, c, n in (("u", "v", "node", "u"), ("v", "u", "node", "v"), ("u", "v", "class", "u_class"), ("v", "u", "class", "v_class"))]
+    sides = [entries.select(F.explode("picks").alias("pick"), *(F.col(c).alias(f"{side}_{c}") for c in entries.columns)) for side in "uv"]
+    most = F.floor((1 - similarity) * F.greatest("u_n", "v_n") + 1e-9).cast("int")
     fewer = F.least("u_n", "v_n")
-    need = F.least(SHARED + F.floor(fewer / 20), fewer)
-    met = met.select(*ordered, need.alias("need")).groupBy("u", "v", "u_class", "v_class").agg(F.count("*").alias("shared"), F.first("need").alias("need"))
-    met = tables.keep(met.where("shared >= need").drop("shared", "need"))
-    picks = nodes.join(members, "node", "left_semi")
-    both = met.join(picks.select(F.col("node").alias("u"), F.col("picks").alias("u_picks")), "u").join(picks.select(F.col("node").alias("v"), F.col("picks").alias("v_picks")), "v")
-    return tables.keep(both.where(F.arrays_overlap("u_picks", "v_picks")).select("u", "v", "u_class", "v_class"))
+    met = sides[0].join(several, "pick").where("u_class <> largest").join(sides[1], "pick")
+    met = met.where("u_class <> v_class AND (v_class = largest OR u_node < v_node)").where(F.abs(F.col("u_n") - F.col("v_n")) <= most)
+    met = met.where(F.get(F.array_intersect("u_picks", "v_picks"), 0) == F.col("pick"))
+    met = met.where(F.size(F.array_intersect("u_rare", "v_rare")) >= F.least(SHARED + F.floor(fewer / 20), fewer))
+    return tables.keep(met.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"), "u_class", "v_class"))
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -365,11 +365,11 @@ def test_near_duplicates_share_rare_words_in_any_order(spark):
             at, kind = int(rng.integers(0, len(b))), rng.integers(0, 3)
             b[at : at + (kind != 0)] = [] if kind == 1 else [int(rng.integers(0, 80))]
         pairs.append((len(a), len(b)))
-        rows += [(f"{i} {side}".encode(), b"", np.array(words, np.uint32).tobytes()) for side, words in (("a", a), ("b", b))]
+        rows += [(f"{i} {side}".encode(), b"", [1], np.array(words, np.uint32).tobytes()) for side, words in (("a", a), ("b", b))]
     levels = rng.integers(1, 200, near_dedup.BINS).astype(np.uint8)
     found = {}
-    for r in near_dedup._rare_words(spark.createDataFrame(rows, "node binary, class binary, words binary"), levels, 0.8).collect():
-        found.setdefault(bytes(r["node"]).decode(), set()).add(r["word"])
+    for r in near_dedup._rare_words(spark.createDataFrame(rows, "node binary, class binary, picks array<long>, words binary"), levels, 0.8).collect():
+        found[bytes(r["node"]).decode()] = set(r["rare"])
     for i, (n, m) in enumerate(pairs):
         assert len(found[f"{i} a"] & found[f"{i} b"]) >= min(near_dedup.needed(n), near_dedup.needed(m))
 

@@ -144,17 +144,50 @@ def ranking_pairs(rows: DataFrame, parent: str, item: str, label: str) -> DataFr
     return pairs.join(count, parent).join(F.broadcast(parents)).select(parent, "better", "worse", (1 / F.col("pairs") / F.col("parents")).alias("weight"))
 
 
-def best_split(rows: DataFrame, features: list[str], target: str, least: int = 1) -> DataFrame:
-    """The cut of one feature that lowers the squared error most: (feature, cut, gain, left).
+def _cuts(rows: DataFrame, node: str, features: list[str], target: str, least: int) -> DataFrame:
+    """(node, feature, x, next, gain, left) of every cut between two values of a feature inside a node.
 
-    Rows become sums by feature and value first; the running sums go over distinct values. Ties go
-    to the first feature, then to the smaller cut. A tree grows by calling this for its nodes.
+    Rows become sums by node, feature and value first; the running sums go over distinct values.
     """
-    long = rows.select(F.col(target).alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("f")).select("y", "f.*")
-    sums = long.groupBy("feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
-    order, group = W.partitionBy("feature").orderBy("x"), W.partitionBy("feature")
-    run = sums.select("feature", "x", F.lead("x").over(order).alias("next"), F.sum("n").over(order).alias("ln"), F.sum("s").over(order).alias("ls"), F.sum("n").over(group).alias("n"), F.sum("s").over(group).alias("s"))
+    long = rows.select(F.col(node).alias("node"), F.col(target).alias("y"), F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features))).alias("f")).select("node", "y", "f.*")
+    sums = long.groupBy("node", "feature", "x").agg(F.count("*").alias("n"), F.sum("y").alias("s"))
+    order, group = W.partitionBy("node", "feature").orderBy("x"), W.partitionBy("node", "feature")
+    run = sums.select("node", "feature", "x", F.lead("x").over(order).alias("next"), F.sum("n").over(order).alias("ln"), F.sum("s").over(order).alias("ls"), F.sum("n").over(group).alias("n"), F.sum("s").over(group).alias("s"))
     rn, rs = F.col("n") - F.col("ln"), F.col("s") - F.col("ls")
     gain = F.round(F.col("ls") ** 2 / F.col("ln") + rs**2 / rn - F.col("s") ** 2 / F.col("n"), 6)
-    cuts = run.where(F.col("next").isNotNull() & (F.col("ln") >= least) & (rn >= least)).select("feature", ((F.col("x") + F.col("next")) / 2).alias("cut"), gain.alias("gain"), F.col("ln").alias("left"))
-    return cuts.orderBy(F.col("gain").desc(), "feature", "cut").limit(1)
+    return run.where(F.col("next").isNotNull() & (F.col("ln") >= least) & (rn >= least)).select("node", "feature", "x", "next", gain.alias("gain"), F.col("ln").alias("left"))
+
+
+def best_split(rows: DataFrame, features: list[str], target: str, least: int = 1) -> DataFrame:
+    """The cut of one feature that lowers the squared error most: (feature, cut, gain, left).
+
+    Ties go to the first feature by name, then to the smaller cut.
+    """
+    cuts = _cuts(rows.withColumn("__node", F.lit(1)), "__node", features, target, least)
+    return cuts.select("feature", ((F.col("x") + F.col("next")) / 2).alias("cut"), "gain", "left").orderBy(F.col("gain").desc(), "feature", "cut").limit(1)
+
+
+def fit_shallow_tree(rows: DataFrame, features: list[str], target: str, depth: int = 4, least: int = 1) -> DataFrame:
+    """(node, rows, value, feature, cut) of a regression tree that lowers the squared error at every cut.
+
+    The root is node 1; rows of node k go to 2k if their feature is at most cut, otherwise to 2k + 1.
+    value is the mean of a node's targets; feature and cut are null in a leaf. Ties go to the feature
+    that comes first in features, then to the smaller cut. Rows with a null take no part. A level is
+    one job; its cuts, a row for each of at most 2**(depth - 1) nodes, become expressions of the next.
+    """
+    placed = rows.select(F.col(target).cast("double").alias("__y"), *features).dropna().withColumn("__node", F.lit(1))
+    place = F.array_position(F.array(*map(F.lit, features)), F.col("feature"))
+    found = []
+    for level in range(depth):
+        cuts = _cuts(placed.where(F.col("__node") >= 2**level), "__node", features, "__y", least).where("gain > 0")
+        best = cuts.groupBy("node").agg(F.min_by(F.struct("feature", "x"), F.struct(-F.col("gain"), place, F.col("x"))).alias("b"))
+        chosen = [(r["node"], r["feature"], r["x"]) for r in best.select("node", "b.*").collect()]
+        if not chosen:
+            break
+        found += chosen
+        moved = F.coalesce(*(F.when(F.col("__node") == k, F.when(F.col(f) <= cut, 2 * k).otherwise(2 * k + 1)) for k, f, cut in chosen), F.col("__node"))
+        placed = placed.withColumn("__node", moved)
+    leaves = placed.groupBy("__node").agg(F.count("*").alias("n"), F.sum("__y").alias("s"))
+    above = leaves.select("n", "s", F.explode(F.array(*(F.shiftright("__node", k) for k in range(depth + 1)))).alias("node")).where("node > 0")
+    values = above.groupBy("node").agg(F.sum("n").alias("rows"), (F.sum("s") / F.sum("n")).alias("value"))
+    return values.join(rows.sparkSession.createDataFrame(found, "node int, feature string, cut double"), "node", "left")

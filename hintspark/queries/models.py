@@ -229,6 +229,31 @@ QUERIES["l10_best_split"] = (
     c AS (SELECT feature, x, lead(x) OVER o AS nx, sum(n) OVER o AS ln, sum(s) OVER o AS ls, sum(n) OVER g AS n, sum(s) OVER g AS s FROM s WINDOW o AS (PARTITION BY feature ORDER BY x), g AS (PARTITION BY feature))
     SELECT feature, (x + nx) / 2 AS cut, round(ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n, 6) AS gain, ln::BIGINT AS left FROM c WHERE nx IS NOT NULL AND ln >= 50 AND n - ln >= 50 ORDER BY gain DESC, feature, cut LIMIT 1""",
 )
+
+
+def _tree_sql(rows: str, features: list[str], depth: int, least: int) -> str:
+    """A regression tree, level by level; rows: (y, features)."""
+    names, columns = ", ".join(f"'{f}'" for f in features), ", ".join(features)
+    parts = [f"r0 AS (SELECT y, {columns}, 1 AS node FROM ({rows}))"]
+    for d in range(depth):
+        value = "CASE b.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in features) + " END"
+        parts.append(f"""l{d} AS (SELECT node, y, unnest([{names}]) AS feature, unnest(range({len(features)})) AS place, unnest([{columns}]) AS x FROM r{d} WHERE node >= {2**d}),
+    s{d} AS (SELECT node, feature, place, x, count(*) AS n, sum(y) AS s FROM l{d} GROUP BY ALL),
+    c{d} AS (SELECT node, feature, place, x, lead(x) OVER o AS nx, sum(n) OVER o AS ln, sum(s) OVER o AS ls, sum(n) OVER g AS n, sum(s) OVER g AS s FROM s{d} WINDOW o AS (PARTITION BY node, feature ORDER BY x), g AS (PARTITION BY node, feature)),
+    g{d} AS (SELECT node, feature, place, x, round(ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n, 6) AS gain FROM c{d} WHERE nx IS NOT NULL AND ln >= {least} AND n - ln >= {least}),
+    b{d} AS (SELECT node, feature, x AS cut FROM g{d} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, place, x) = 1),
+    r{d + 1} AS (SELECT r.y, {", ".join(f"r.{f}" for f in features)}, CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= b.cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM r{d} r LEFT JOIN b{d} b ON r.node = b.node)""")
+    cuts = " UNION ALL ".join(f"SELECT node, feature, cut FROM b{d}" for d in range(depth))
+    return f"""WITH {", ".join(parts)}, cuts AS ({cuts}), above AS (SELECT y, unnest([{", ".join(f"node >> {k}" for k in range(depth + 1))}]) AS node FROM r{depth}),
+    v AS (SELECT node, count(*) AS rows, avg(y) AS value FROM above WHERE node > 0 GROUP BY node)
+    SELECT v.node, rows, round(value, 6) AS value, feature, cut FROM v LEFT JOIN cuts ON v.node = cuts.node"""
+
+
+_CUT_BY = ["l_quantity", "l_discount", "l_tax"]
+QUERIES["l10_shallow_tree"] = (
+    lambda s, d: T.fit_shallow_tree(table(s, d, "lineitem"), _CUT_BY, "l_linenumber", 4, 50).withColumn("value", F.round("value", 6)),
+    _tree_sql("SELECT l_linenumber::DOUBLE AS y, l_quantity, l_discount, l_tax FROM lineitem", _CUT_BY, 4, 50),
+)
 _LOGITS = lambda: F.array(*((F.col("n_chars") % m / 4).cast("double") for m in (7, 11, 5, 3)))
 QUERIES["l12_temperature_grid"] = (
     lambda s, d: T.temperature_grid(table(s, d, "documents").select(_LOGITS().alias("z"), (F.col("doc_id") % 4).cast("int").alias("label")), "z", "label"),

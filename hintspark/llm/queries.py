@@ -223,9 +223,43 @@ FROM nodes n LEFT JOIN ruled u ON u.host = n.host AND u.path = n.path LEFT JOIN
 """
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.importance import resample
+
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+WITH cells AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+given AS (SELECT row_number() OVER () AS n, doc_id, text, true AS own FROM documents UNION ALL SELECT 0, NULL, text, false FROM benchmark),
+found AS (SELECT n, own, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM given),
+counted AS (SELECT n, own, w, count(*) AS k FROM found GROUP BY ALL),
+hexed AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM counted),
+bucketed AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 AS bucket FROM hexed, cells),
+cells_of AS (SELECT own, bucket, sum(k) AS k FROM counted JOIN bucketed USING (w) GROUP BY ALL),
+sums AS (
+  SELECT b.bucket, coalesce(sum(k) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(k) FILTER (NOT own), 0)::DOUBLE AS t,
+    (SELECT coalesce(sum(k), 0) FROM cells_of WHERE own)::DOUBLE AS all_s, (SELECT coalesce(sum(k), 0) FROM cells_of WHERE NOT own)::DOUBLE AS all_t
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN cells_of USING (bucket) GROUP BY b.bucket),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (all_s + 10000) / ((s + 1) * (all_t + 10000)))) AS gain FROM sums),
+weights AS (SELECT n, sum(k)::BIGINT AS n_features, floor(sum(k * gain) / sum(k))::BIGINT AS weight FROM counted JOIN bucketed USING (w) JOIN gains USING (bucket) WHERE own GROUP BY n),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE + 0.5) / 4294967296.0::DOUBLE))))::BIGINT AS score
+  FROM given LEFT JOIN weights USING (n) WHERE own),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features)::BIGINT AS place, count(*) OVER (PARTITION BY n_features >= 20) AS able FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= able * 10 // 100 THEN place END AS rank FROM placed
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op6_near_dedup, op7_toxicity, op8_pii, op9_topk, op10_url_filter)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op6_near_dedup, op7_toxicity, op8_pii, op9_topk, op10_url_filter, op12_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL, "op9_topk": OP9_SQL, "op10_url_filter": OP10_SQL}
+    return {"op3_mixing": OP3_SQL, "op9_topk": OP9_SQL, "op10_url_filter": OP10_SQL, "op12_importance": OP12_SQL}

@@ -257,8 +257,14 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 """
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.conversations import repair_conversations
+
+    return repair_conversations(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op6_near_dedup, op7_toxicity, op8_pii, op9_topk, op10_url_filter, op12_importance)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op6_near_dedup, op7_toxicity, op8_pii, op9_topk, op10_url_filter, op12_importance, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

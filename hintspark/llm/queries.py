@@ -223,6 +223,12 @@ FROM nodes n LEFT JOIN ruled u ON u.host = n.host AND u.path = n.path LEFT JOIN
 """
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hintspark.llm.hidden_markov import score_texts
+
+    return score_texts(_table(spark, sf_dir, "documents"), _remainder(10) != 0)
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hintspark.llm.importance import resample
 
@@ -264,7 +270,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op6_near_dedup, op7_toxicity, op8_pii, op9_topk, op10_url_filter, op12_importance, op13_conversations)}
+    return {f.__name__: f for f in (op1_packing, op2_langid, op3_mixing, op4_quality, op5_html_text, op6_near_dedup, op7_toxicity, op8_pii, op9_topk, op10_url_filter, op11_lm_score, op12_importance, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,6 +5,9 @@ All are built-in expressions. Null text gives null, unless a docstring says othe
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 NON_WORD = r"[^\p{L}\p{Nd}]+"
@@ -168,14 +171,31 @@ def phrase_pattern(phrases: tuple[str, ...]) -> str:
     return "|".join([bounded, *other])
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _any_of(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in parts))
+
+
+def phrases_occur(lower: Column, phrases: tuple[str, ...]) -> Column:
+    """phrase_pattern(phrases) in a text, looked for only where a plain search has found one."""
+    plain, other = tuple(p for p in phrases if p.isascii()), tuple(p for p in phrases if not p.isascii())
+    here = _any_of(lower, plain) & lower.rlike(phrase_pattern(plain))
+    return here | _any_of(lower, other) if other else here
+
+
 def rule_intent(text: Column) -> Column:
     """The one intent whose phrases occur; unclear if none or several do, or completion is negated."""
-    lower = F.lower(text)
-    negated = lower.rlike(phrase_pattern(NOT_COMPLETED))
-    flags = {i: lower.rlike(phrase_pattern(p)) for i, p in INTENT_PHRASES.items()}
-    flags["question"] = flags["question"] | F.contains(lower, F.lit("?"))
-    found = F.array_compact(F.array(*(F.when(flag, i) for i, flag in flags.items())))
-    return F.when(negated | (F.size(found) != 1), "unclear").otherwise(F.get(found, 0))
+
+    def decide(lower: Column) -> Column:
+        flags = {i: phrases_occur(lower, p) for i, p in INTENT_PHRASES.items()}
+        flags["question"] = F.contains(lower, F.lit("?")) | flags["question"]
+        return F.array_compact(F.array(*(F.when(flag, i) for i, flag in flags.items()), F.when(phrases_occur(lower, NOT_COMPLETED), "negated")))
+
+    return once(once(F.lower(text), decide), lambda found: F.when(F.array_contains(found, "negated") | (F.size(found) != 1), "unclear").otherwise(F.get(found, 0)))
 
 
 #: The terms of the speech act rules.
@@ -198,13 +218,16 @@ def any_term_pattern(terms: tuple[str, ...]) -> str:
 
 def rule_speech_act(text: Column) -> Column:
     """Hypothetical framing, then questions, then cancelling, then the one act that is claimed."""
-    lower = F.lower(F.trim(text))
-    has = {name: lower.rlike(any_term_pattern(terms)) for name, terms in ACT_TERMS.items()}
+    return once(F.lower(F.trim(text)), lambda lower: once(F.struct((lower == "").alias("empty"), *(_any_of(lower, terms).alias(name) for name, terms in ACT_TERMS.items())), _decide_act))
+
+
+def _decide_act(has: Column) -> Column:
+    """The act of a struct of flags, one for each list of terms."""
     acts = {"blocker": has["blocked"], "progress": has["active"], "completion_report": has["done"] & ~has["not_done"], "planned": has["plan"], "reference": has["reference"]}
     found = F.array_compact(F.array(*(F.when(flag, act) for act, flag in acts.items())))
     torn = has["done"] & (has["not_done"] | has["active"] | has["blocked"] | has["plan"])
     return (
-        F.when((lower == "") | has["framed"], "unclear")
+        F.when(has["empty"] | has["framed"], "unclear")
         .when(has["question"], "question")
         .when(has["cancel"], "cancel_request")
         .when(torn, F.when(has["not_done"] & has["active"] & ~has["blocked"] & ~has["plan"], "progress").otherwise("unclear"))

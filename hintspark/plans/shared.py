@@ -53,10 +53,11 @@ class SharedTables:
         self.root = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def keep(self, frame: DataFrame) -> DataFrame:
+    def keep(self, frame: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+        """frame as written and read again; by names columns that get folders of their own."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        frame.write.parquet(path)
+        frame.write.partitionBy(*by).parquet(path)
         kept = self.spark.read.schema(frame.schema).parquet(path)
         kept._shared_path = path
         return kept

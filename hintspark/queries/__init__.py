@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-TOPICS = ("text", "retrieval", "evaluation", "splits", "evidence", "models", "traces", "sources", "families", "parsers")
+TOPICS = ("text", "retrieval", "evaluation", "splits", "evidence", "models", "heads", "traces", "sources", "families", "parsers")
 
 
 def registered() -> dict[str, tuple[Query, str | None]]:

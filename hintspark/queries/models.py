@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from hintspark.functions import hashing as H, text as X, vectors as N
-from hintspark.operators import retrieval as R, training as T
+from hintspark.operators import heads as D, retrieval as R, training as T
 from hintspark.plans.shared import SharedTables
 from hintspark.queries import table
 from hintspark.queries.retrieval import _BM25, _TOP, _items, _scores
@@ -185,11 +185,12 @@ QUERIES["l6_fit_ternary"] = (_predicted(ternary=True), None)
 
 
 def _logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English against other languages; scores are dots of features and coefficients."""
-    data = SharedTables(spark, "dataset").keep(_dataset(spark, sf_dir).withColumn("label", (F.col("lang") == "en").cast("int")))
-    w = T.fit_logistic(data.where("grp < 'src2'"), 1024, "grp", data.where("grp >= 'src2'"), steps=12)
-    weights = F.array(*map(F.lit, w[0].tolist()))
-    return data.select("doc_id", "label", (H.sparse_dot(F.col("features"), weights) + float(w[0, -1]) > 0).cast("int").alias("predicted"))
+    """English against other languages, chosen by the sources from src2 on; scores are dots of features and weights."""
+    tables = SharedTables(spark, "logistic")
+    data = tables.keep(_dataset(spark, sf_dir).withColumn("label", (F.col("lang") == "en").cast("int")))
+    fitted = D.fit_logistic(data.where("grp < 'src2'"), data.where("grp >= 'src2'"), 1024, F.col("doc_id"), tables, "grp", batch=1024, epochs=2)
+    weights = F.array(*map(F.lit, fitted.head["w"][:, 0].tolist()))
+    return data.select("doc_id", "label", (H.sparse_dot(F.col("features"), weights) > 0).cast("int").alias("predicted"))
 
 
 QUERIES["l1_fit_logistic"] = (_logistic, None)
@@ -231,10 +232,10 @@ QUERIES["l10_best_split"] = (
 )
 
 
-def _tree_sql(rows: str, features: list[str], depth: int, least: int) -> str:
-    """A regression tree, level by level; rows: (y, features)."""
+def _tree_sql(rows: str, features: list[str], depth: int, least: int, keys: list[str] = [], shown: str = "") -> str:  # noqa: B006
+    """A regression tree, level by level; rows: (y, features, keys). shown: another result than the nodes."""
     names, columns = ", ".join(f"'{f}'" for f in features), ", ".join(features)
-    parts = [f"r0 AS (SELECT y, {columns}, 1 AS node FROM ({rows}))"]
+    parts = [f"r0 AS (SELECT y, {', '.join([*features, *keys])}, 1 AS node FROM ({rows}))"]
     for d in range(depth):
         value = "CASE b.feature " + " ".join(f"WHEN '{f}' THEN r.{f}" for f in features) + " END"
         parts.append(f"""l{d} AS (SELECT node, y, unnest([{names}]) AS feature, unnest(range({len(features)})) AS place, unnest([{columns}]) AS x FROM r{d} WHERE node >= {2**d}),
@@ -242,11 +243,11 @@ def _tree_sql(rows: str, features: list[str], depth: int, least: int) -> str:
     c{d} AS (SELECT node, feature, place, x, lead(x) OVER o AS nx, sum(n) OVER o AS ln, sum(s) OVER o AS ls, sum(n) OVER g AS n, sum(s) OVER g AS s FROM s{d} WINDOW o AS (PARTITION BY node, feature ORDER BY x), g AS (PARTITION BY node, feature)),
     g{d} AS (SELECT node, feature, place, x, round(ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n, 6) AS gain FROM c{d} WHERE nx IS NOT NULL AND ln >= {least} AND n - ln >= {least}),
     b{d} AS (SELECT node, feature, x AS cut FROM g{d} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY node ORDER BY gain DESC, place, x) = 1),
-    r{d + 1} AS (SELECT r.y, {", ".join(f"r.{f}" for f in features)}, CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= b.cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM r{d} r LEFT JOIN b{d} b ON r.node = b.node)""")
+    r{d + 1} AS (SELECT r.y, {", ".join(f"r.{f}" for f in [*features, *keys])}, CASE WHEN b.node IS NULL THEN r.node WHEN {value} <= b.cut THEN 2 * r.node ELSE 2 * r.node + 1 END AS node FROM r{d} r LEFT JOIN b{d} b ON r.node = b.node)""")
     cuts = " UNION ALL ".join(f"SELECT node, feature, cut FROM b{d}" for d in range(depth))
     return f"""WITH {", ".join(parts)}, cuts AS ({cuts}), above AS (SELECT y, unnest([{", ".join(f"node >> {k}" for k in range(depth + 1))}]) AS node FROM r{depth}),
     v AS (SELECT node, count(*) AS rows, avg(y) AS value FROM above WHERE node > 0 GROUP BY node)
-    SELECT v.node, rows, round(value, 6) AS value, feature, cut FROM v LEFT JOIN cuts ON v.node = cuts.node"""
+    {shown or "SELECT v.node, rows, round(value, 6) AS value, feature, cut FROM v LEFT JOIN cuts ON v.node = cuts.node"}"""
 
 
 _CUT_BY = ["l_quantity", "l_discount", "l_tax"]
@@ -254,6 +255,10 @@ QUERIES["l10_shallow_tree"] = (
     lambda s, d: T.fit_shallow_tree(table(s, d, "lineitem"), _CUT_BY, "l_linenumber", 4, 50).withColumn("value", F.round("value", 6)),
     _tree_sql("SELECT l_linenumber::DOUBLE AS y, l_quantity, l_discount, l_tax FROM lineitem", _CUT_BY, 4, 50),
 )
+QUERIES["q5_predict_tree"] = (
+    lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(D.predict_tree(table(s, d, "lineitem"), T.fit_shallow_tree(table(s, d, "lineitem"), _CUT_BY, "l_linenumber", 4, 50)), 6).alias("predicted")),
+    _tree_sql("SELECT l_linenumber::DOUBLE AS y, l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem", _CUT_BY, 4, 50, ["l_orderkey", "l_linenumber"], "SELECT l_orderkey, l_linenumber, round(avg(y) OVER (PARTITION BY node), 6) AS predicted FROM r4"),
+)
 _LOGITS = lambda: F.array(*((F.col("n_chars") % m / 4).cast("double") for m in (7, 11, 5, 3)))
 QUERIES["l12_temperature_grid"] = (
     lambda s, d: T.temperature_grid(table(s, d, "documents").select(_LOGITS().alias("z"), (F.col("doc_id") % 4).cast("int").alias("label")), "z", "label"),

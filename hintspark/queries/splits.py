@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hintspark.functions import text as X
 from hintspark.operators import splits as S
+from hintspark.operators.star import family_graph_check, family_graph_counts
 from hintspark.queries import table
 from hintspark.queries.text import collapse_sql
 
@@ -265,3 +266,55 @@ QUERIES["g26_registry_audit"] = (
     _registry,
     """SELECT p_brand, count(*) AS parts, count(DISTINCT p_partkey) = max(p_partkey) - min(p_partkey) + 1 AS gapless, min(length(p_name))::INT AS shortest, round(quantile_cont(length(p_name), 0.5), 6) AS median, round(quantile_cont(length(p_name), 0.9), 6) AS p90, max(length(p_name))::INT AS longest FROM part GROUP BY p_brand""",
 )
+
+
+def _star(spark: SparkSession, sf_dir: str):
+    """Documents are comments, two a family; three families a source. Some break a rule."""
+    d = F.col("doc_id")
+    pin = lambda kind, n, odd=F.lit(False): F.struct(F.concat(F.lit(f"{kind}/"), n.cast("string")).alias("path"), F.sha2(F.concat(F.lit(f"{kind}:"), n.cast("string"), F.when(odd, "!").otherwise("")), 256).alias("sha256"), (n % 50 + 1).alias("bytes"))
+    fam = F.floor(d / 2)
+    src = F.floor(fam / 3)
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    comments = docs.select(
+        F.concat(F.lit("c"), (d - F.when(d % 59 == 0, 1).otherwise(0)).cast("string")).alias("id"), fam.alias("family_id"), (src + F.when(d % 61 == 0, 1).otherwise(0)).alias("source_id"), pin("source", src).alias("source"),
+        pin("frame", fam, d % 97 == 0).alias("frame"), F.when(d % 71 == 0, "fr").when(d % 2 == 0, "ko").otherwise("en").alias("locale"), F.when(d % 83 == 0, " ").otherwise(F.col("text")).alias("text"),
+    )
+    n = F.col("n")
+    families = docs.select(fam.alias("n")).distinct().select(n.alias("id"), (F.floor(n / 3) + F.when(n % 101 == 0, 1_000_000_000).otherwise(0)).alias("source_id"), pin("frame", n).alias("frame"), pin("schema", F.lit(1) + F.when(n % 89 == 0, 1).otherwise(0)).alias("frame_schema"))
+    sources = docs.select(src.alias("n")).distinct().select(
+        n.alias("id"), F.element_at(F.array(*map(F.lit, ("train", "dev", "test", "other"))), F.when(n % 31 == 0, 4).otherwise((n % 3 + 1)).cast("int")).alias("split"), F.when(n % 3 == 1, "plain").when(n % 43 == 0, "odd").otherwise("").alias("dev_style"),
+        pin("source", n).alias("source"), pin("review", n, n % 47 == 0).alias("review"),
+    )
+    return sources, families, comments, pin("schema", F.lit(1))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources, families, comments, schema = _star(spark, sf_dir)
+    return family_graph_check(sources, families, comments, schema, styles=("plain",))
+
+
+_STAR_SQL = """d AS (SELECT *, doc_id // 2 AS fam, doc_id // 6 AS src FROM documents WHERE doc_id IS NOT NULL),
+    c AS (SELECT 'c' || (doc_id - (doc_id % 59 = 0)::INT) AS id, fam, src + (doc_id % 61 = 0)::INT AS sid, src, doc_id % 97 = 0 AS odd, CASE WHEN doc_id % 71 = 0 THEN 'fr' WHEN doc_id % 2 = 0 THEN 'ko' ELSE 'en' END AS locale, CASE WHEN doc_id % 83 = 0 THEN ' ' ELSE text END AS text FROM d),
+    f AS (SELECT DISTINCT fam AS id, fam // 3 + CASE WHEN fam % 101 = 0 THEN 1000000000 ELSE 0 END AS sid, fam % 89 <> 0 AS fits FROM d),
+    s AS (SELECT DISTINCT src AS id, CASE WHEN src % 31 = 0 THEN 'other' ELSE ['train', 'dev', 'test'][src % 3 + 1] END AS split, CASE WHEN src % 3 = 1 THEN 'plain' WHEN src % 43 = 0 THEN 'odd' ELSE '' END AS style FROM d)"""
+QUERIES["g25_family_graph_check"] = (
+    _graph,
+    f"""WITH {_STAR_SQL}
+    SELECT 'source_split' AS code, id::VARCHAR AS id FROM s WHERE split = 'other'
+    UNION ALL SELECT 'dev_style', id::VARCHAR FROM s WHERE CASE WHEN split = 'dev' THEN style <> 'plain' ELSE style <> '' END
+    UNION ALL SELECT 'family_source', id::VARCHAR FROM f WHERE sid NOT IN (SELECT id FROM s)
+    UNION ALL SELECT 'family_pin', id::VARCHAR FROM f WHERE NOT fits
+    UNION ALL SELECT 'source_family_count', s.id::VARCHAR FROM s LEFT JOIN f ON f.sid = s.id GROUP BY s.id HAVING count(f.id) <> 3
+    UNION ALL (SELECT DISTINCT 'comment_id', id FROM c GROUP BY id HAVING count(*) > 1)
+    UNION ALL SELECT 'comment_binding', c.id FROM c JOIN f ON f.id = fam LEFT JOIN s ON s.id = f.sid WHERE c.sid <> f.sid OR s.id IS NULL OR c.src <> s.id OR odd
+    UNION ALL SELECT 'comment_locale', id FROM c WHERE locale = 'fr'
+    UNION ALL SELECT 'comment_locale_repeated', fam::VARCHAR FROM c GROUP BY fam, locale HAVING count(*) > 1
+    UNION ALL SELECT 'comment_text', id FROM c WHERE text IS NULL OR strlen(text) > 4096 OR NOT regexp_matches(text, '[^\\p{{Z}}\\x09-\\x0D\\x85]') OR contains(text, chr(0))
+    UNION ALL SELECT 'family_comment_pair', f.id::VARCHAR FROM f LEFT JOIN (SELECT DISTINCT fam, locale FROM c WHERE locale IN ('ko', 'en')) p ON p.fam = f.id GROUP BY f.id HAVING count(p.fam) <> 2
+    UNION ALL SELECT 'pin_alias', 'frame/' || fam FROM c GROUP BY fam HAVING bool_or(odd)""",
+)
+QUERIES["g25_family_graph_counts"] = (
+    lambda s, d: family_graph_counts(*_star(s, d)[:3]),
+    f"""WITH {_STAR_SQL} SELECT split, style AS dev_style, count(DISTINCT s.id) AS sources, count(DISTINCT f.id) AS families, count(c.id) AS comments
+    FROM s LEFT JOIN f ON f.sid = s.id LEFT JOIN c ON c.fam = f.id GROUP BY ALL""",
+)

@@ -1,7 +1,9 @@
 """Quality rules with thresholds that follow the data.
 
 Each language and source gets mergeable quantile sketches of four ratios of its documents; a
-document is joined to the thresholds of its group and dropped if a ratio lies far outside. A
+document is joined to the thresholds of its group and dropped if a ratio lies far outside. Three
+of the ratios are zero in most texts; there the sketch's share of zeros gives the rate of chance
+events, and a document may have as many as its length makes likely at that rate. A
 sketch counts values in bins whose bounds grow by a constant factor, so that a quantile is off by a
 thousandth of itself at most; sketches merge by adding counts, in any order, to the same result.
 """
@@ -21,19 +23,18 @@ SYMBOLS = "#*$%&|<>"
 _WHITE = b" \t\n\x0b\x0c\r"
 _POWERS = np.random.default_rng(11).integers(1, 2**63, WINDOW, np.uint64) | np.uint64(1)
 
-#: Chance occurrences that count for nothing: symbols, repeated lines, and repeats of a window.
-CHANCE = 3
-#: Ratios of a document, as SQL over its metrics; numbers beyond chance over all.
-RATIOS = {
-    "symbol_ratio": f"try_divide(greatest(n_symbols - {CHANCE}, 0), word_chars)",
-    "dup_line_ratio": f"try_divide(greatest(n_dup_lines - {CHANCE}, 0), n_lines)",
-    "repeat_ratio": f"try_divide(greatest(n_repeat_words - {CHANCE} * {2 * WINDOW}, 0), n_words)",
-    "word_length": "try_divide(word_chars, n_words)",
-}
+#: Counts and what they are counted in: a ratio's events come by chance as often as the group's texts without any show.
+#: An event is a symbol, a repeated line, or a repeat of one window, which covers two of them.
+COUNTS = {"symbol_ratio": ("n_symbols", "word_chars", 1), "dup_line_ratio": ("n_dup_lines", "n_lines", 1), "repeat_ratio": ("n_repeat_words", "n_words", 2 * WINDOW)}
+#: Ratios of a document, as SQL over its metrics.
+RATIOS = {**{r: f"try_divide({count}, {size})" for r, (count, size, _) in COUNTS.items()}, "word_length": "try_divide(word_chars, n_words)"}
+SIZES = {f"size of {r}": size for r, (_, size, _) in COUNTS.items()}
 #: Bounds of a sketch's bins grow by this factor.
 GROWTH = 1.002
 #: How far from the median the outer quantiles' distance is taken.
 REACH = 4
+#: Standard deviations, of variance-stabilised counts, that chance may reach.
+CHANCE = 2.5
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -96,12 +97,12 @@ def text_metrics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "so
 
 
 def sketches(metrics: DataFrame) -> DataFrame:
-    """lang, source, ratio, bin, n: how many rows of a group have a ratio in a bin; bin is null for 0.
+    """lang, source, ratio, bin, n: how many rows of a group have a ratio, or a ratio's size, in a bin; bin is null for 0.
 
     Counts are partial sums before they are shuffled, so a hot group costs a few thousand rows a
     task. Ratios that are null (of texts without words) are not counted.
     """
-    values = F.array(*(F.struct(F.lit(r).alias("ratio"), F.expr(sql).cast("double").alias("value")) for r, sql in RATIOS.items()))
+    values = F.array(*(F.struct(F.lit(r).alias("ratio"), F.expr(sql).cast("double").alias("value")) for r, sql in {**RATIOS, **SIZES}.items()))
     rows = metrics.select("lang", "source", F.explode(values).alias("v")).where("v.value IS NOT NULL")
     number = F.ceil(F.ln(F.col("v.value")) / float(np.log(GROWTH))).cast("int")
     return rows.groupBy("lang", "source", F.col("v.ratio").alias("ratio"), F.when(F.col("v.value") > 0, number).alias("bin")).agg(F.count("*").alias("n"))
@@ -113,40 +114,54 @@ def merged(sketched: DataFrame, *keys: str) -> DataFrame:
 
 
 def fences(sketched: DataFrame, *keys: str) -> DataFrame:
-    """keys, ratio, rows, low and high: what lies outside is far from the group's other values.
+    """keys, ratio, rows, none, median, low and high: what lies outside is far from the group's other values.
 
     high is the upper quartile plus four times the distance from the median to the 90th percentile,
-    low the lower quartile less four times that from the 10th percentile to the median. Where nine
-    of ten documents have none beyond chance, high is 0, so that any more is too much.
+    low the lower quartile less four times that from the 10th percentile to the median. A quartile
+    stands for the outer bound of its bin, so that values that tie with it lie inside. A ratio whose
+    median is 0 has a high of 0: its limit comes from chance alone. none counts the zeros.
     """
     group = W.partitionBy(*keys, "ratio")
     counted = sketched.withColumn("rows", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy(F.col("bin").asc_nulls_first())))
-    value = F.coalesce(F.lit(2.0) * F.pow(F.lit(GROWTH), F.col("bin")) / F.lit(GROWTH + 1), F.lit(0.0))
+    upper = F.coalesce(F.pow(F.lit(GROWTH), F.col("bin")), F.lit(0.0))
+    lower = upper / GROWTH
 
-    def quantile(q: float) -> Column:
+    def quantile(q: float, value: Column) -> Column:
         return F.min(F.when(F.col("upto") >= F.ceil(F.col("rows") * q), value))
 
-    found = counted.groupBy(*keys, "ratio").agg(F.first("rows").alias("rows"), *(quantile(q).alias(n) for n, q in (("q10", 0.1), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9))))
-    return found.select(*keys, "ratio", "rows", (F.col("q25") - REACH * (F.col("q50") - F.col("q10"))).alias("low"), (F.col("q75") + REACH * (F.col("q90") - F.col("q50"))).alias("high"))
+    parts = {"q10": (0.1, lower), "l25": (0.25, lower), "q50": (0.5, lower), "u75": (0.75, upper), "q90": (0.9, lower)}
+    none = F.coalesce(F.max(F.when(F.col("bin").isNull(), F.col("n"))), F.lit(0))
+    found = counted.groupBy(*keys, "ratio").agg(F.first("rows").alias("rows"), none.alias("none"), *(quantile(*v).alias(n) for n, v in parts.items()))
+    low = F.col("l25") * (1 - 1e-9) - REACH * (F.col("q50") - F.col("q10"))
+    high = F.when(F.col("q50") > 0, F.col("u75") * (1 + 1e-9) + REACH * (F.col("q90") - F.col("q50"))).otherwise(0.0)
+    return found.select(*keys, "ratio", "rows", "none", F.col("q50").alias("median"), low.alias("low"), high.alias("high"))
+
+
+def chance_limit(events: Column) -> Column:
+    """The most events that chance brings where it brings so many on average (as for Poisson counts)."""
+    return F.pow(F.sqrt(events + 0.375) + CHANCE / 2, 2) - 0.375
 
 
 def thresholds(metrics: DataFrame, least_rows: int = 200) -> DataFrame:
-    """lang, source, the highest value of each ratio that passes there, and the least word length.
+    """lang, source, the highest value of each ratio that passes there, the rate of its events by chance, and the least word length.
 
-    A group of fewer than least_rows documents takes the thresholds of its language, or of all if
-    these are few too.
+    The rate is that at which the group has its share of documents without events, given their median
+    size; how many events the others have doesn't count. A group of fewer than least_rows documents
+    takes the thresholds of its language, or of all if these are few too.
     """
     tables = SharedTables(metrics.sparkSession, "quality")
     sketched = tables.keep(sketches(metrics))
-    named = lambda frame, level, *keys: frame.select(*(F.col(k).alias(f"{level}_{k}") for k in (*keys, "ratio", "rows", "low", "high")))
+    held = ("rows", "none", "median", "low", "high")
+    named = lambda frame, level, *keys: frame.select(*(F.col(k).alias(f"{level}_{k}") for k in (*keys, "ratio", *held)))
     own = named(fences(sketched, "lang", "source"), "own", "lang", "source")
     langs = named(fences(merged(sketched, "lang"), "lang"), "lang", "lang")
-    every = named(fences(merged(sketched)), "all")  # four rows
+    every = named(fences(merged(sketched)), "all")  # a row for each ratio and size
     both = own.join(langs, F.col("own_lang").eqNullSafe(F.col("lang_lang")) & (F.col("own_ratio") == F.col("lang_ratio")))
     both = both.join(F.broadcast(every), F.col("own_ratio") == F.col("all_ratio"))
     taken = lambda side: F.when(F.col("own_rows") >= least_rows, F.col(f"own_{side}")).when(F.col("lang_rows") >= least_rows, F.col(f"lang_{side}")).otherwise(F.col(f"all_{side}"))
     of = lambda r, side: F.max(F.when(F.col("own_ratio") == r, taken(side)))
-    limits = [*(of(r, "high").alias(f"most_{r}") for r in RATIOS), of("word_length", "low").alias("least_word_length")]
+    rate = lambda r: -F.log((of(r, "none") + 0.5) / (of(r, "rows") + 1)) / F.greatest(of(f"size of {r}", "median"), F.lit(1.0))
+    limits = [*(of(r, "high").alias(f"most_{r}") for r in RATIOS), *(rate(r).alias(f"rate_{r}") for r in COUNTS), of("word_length", "low").alias("least_word_length")]
     return both.groupBy(F.col("own_lang").alias("lang"), F.col("own_source").alias("source")).agg(*limits)
 
 
@@ -168,7 +183,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     limits = tables.keep(thresholds(metrics.where("NOT base_failed")))
     limits = limits.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     joined = metrics.join(limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left").drop("__lang", "__source")
-    good = F.expr(RATIOS["word_length"]) >= F.col("least_word_length")
-    for r, sql in RATIOS.items():
-        good = good & (F.expr(sql) <= F.col(f"most_{r}"))
+    good = F.expr(RATIOS["word_length"]).between(F.col("least_word_length"), F.col("most_word_length"))
+    for r, (count, size, unit) in COUNTS.items():
+        good = good & (F.col(count) <= F.greatest(F.col(f"most_{r}") * F.col(size), unit * chance_limit(F.col(f"rate_{r}") * F.col(size))))
     return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(good))

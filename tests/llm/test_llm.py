@@ -165,20 +165,77 @@ def brute_fences(values):
     """Quantiles by sorting, as the least value that enough values don't exceed."""
     values = sorted(values)
     q = lambda p: values[max(0, math.ceil(len(values) * p) - 1)]
-    return q(0.25) - 4 * (q(0.5) - q(0.1)), q(0.75) + 4 * (q(0.9) - q(0.5))
+    return q(0.25) - 4 * (q(0.5) - q(0.1)), q(0.75) + 4 * (q(0.9) - q(0.5)) if q(0.5) > 0 else 0.0, q(0.5)
+
+
+METRICS = "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+
+
+def metric_rows(seed, n):
+    rng = random.Random(seed)
+    often = {"a": 0.5, "b": 0.02, "c": 0.2}
+    rows = []
+    for _ in range(n):
+        source = rng.choice("abc")
+        some = lambda most: rng.randint(1, most) if rng.random() < often[source] else 0  # noqa: E731, B023
+        words = rng.randint(50, 400)
+        rows.append((rng.choice(["en", "de", None]), source, words, words * rng.randint(4, 6), some(60), rng.randint(5, 30), some(5), some(15)))
+    return rows
 
 
 def test_fences_equal_brute_force(spark):
-    rng = random.Random(12)
-    rows = [(rng.choice(["en", "de", None]), rng.choice("abc"), rng.randint(50, 200), rng.randint(300, 900), rng.choice([0, 0, 0, rng.randint(0, 90)]), 10, rng.randint(0, 9), rng.randint(0, 60)) for _ in range(3000)]
-    metrics = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
-    got = {(r["lang"], r["ratio"]): (r["low"], r["high"], r["rows"]) for r in quality.fences(quality.merged(quality.sketches(metrics), "lang"), "lang").collect()}
-    assert len(got) == 12
+    rows = metric_rows(12, 3000)
+    got = {(r["lang"], r["ratio"]): (r["low"], r["high"], r["rows"], r["none"]) for r in quality.fences(quality.merged(quality.sketches(spark.createDataFrame(rows, METRICS)), "lang"), "lang").collect()}
+    assert len(got) == 3 * 7
     for lang in ("en", "de", None):
-        of = {"symbol_ratio": [max(r[4] - 3, 0) / r[3] for r in rows if r[0] == lang], "word_length": [r[3] / r[2] for r in rows if r[0] == lang]}
+        of = {"symbol_ratio": [r[4] / r[3] for r in rows if r[0] == lang], "word_length": [r[3] / r[2] for r in rows if r[0] == lang], "size of dup_line_ratio": [r[5] for r in rows if r[0] == lang]}
         for ratio, values in of.items():
-            low, high, n = got[lang, ratio]
-            assert n == len(values) and (low, high) == pytest.approx(brute_fences(values), abs=0.009 * max(values))  # nine quantiles, each off by a thousandth at most
+            low, high, n, none = got[lang, ratio]
+            assert n == len(values) and none == values.count(0)
+            assert (low, high) == pytest.approx(brute_fences(values)[:2], abs=0.02 * max(values))  # nine quantiles, each off by a bin at most
+
+
+def test_verdicts_equal_a_plain_computation(spark):
+    """Limits from sorted values, group by group; documents within a hundredth of a limit may go either way."""
+    rows = metric_rows(14, 4000)
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], METRICS + ", doc_id long")
+    limits = {(r["lang"], r["source"]): r for r in quality.thresholds(frame, least_rows=100).collect()}
+    for (lang, source), r in limits.items():
+        own = [x for x in rows if x[0] == lang and x[1] == source]
+        for ratio, count, size in (("symbol_ratio", 4, 3), ("dup_line_ratio", 6, 5), ("repeat_ratio", 7, 2)):
+            none = sum(x[count] == 0 for x in own)
+            rate = -math.log((none + 0.5) / (len(own) + 1)) / brute_fences([x[size] for x in own])[2]
+            assert r[f"rate_{ratio}"] == pytest.approx(rate, rel=0.003)
+            assert r[f"most_{ratio}"] == pytest.approx(brute_fences([x[count] / x[size] for x in own])[1], rel=0.02, abs=1e-9)
+        assert r["least_word_length"] == pytest.approx(brute_fences([x[3] / x[2] for x in own])[0], abs=0.1)
+    for ratio in ("symbol_ratio", "dup_line_ratio", "repeat_ratio"):
+        assert len({round(r[f"rate_{ratio}"], 5) for r in limits.values()}) > len(limits) / 2
+
+
+def test_chance_limits_and_ties(spark):
+    of = lambda n: spark.range(1).select(quality.chance_limit(F.lit(float(n)))).first()[0]
+    assert 2 < of(0) < 4 < of(1) and of(2.2) > 7 and of(100) < 130
+    rng = random.Random(16)
+    six = [(i, " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(40)), "en", "a", 0) for i in range(400)]
+    assert quality.judge_quality(docs(spark, six)).where("kept").count() == 400
+    word = lambda rng: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    rng = random.Random(15)
+    texts = [" ".join(word(rng) + ("#" if rng.random() < 0.0003 else "") for _ in range(300)) for _ in range(300)]
+    long = " ".join(word(rng) for _ in range(10_000)) + " # # # # #"
+    short = " ".join(word(rng) for _ in range(100)) + " # # # # # # # #"
+    got = {r["doc_id"]: r["kept"] for r in quality.judge_quality(docs(spark, [(i, t, "en", "a", 0) for i, t in enumerate([*texts, long, short])])).collect()}
+    assert got[300] and not got[301] and sum(got[i] for i in range(300)) >= 295
+
+
+def test_real_groups_get_limits_of_their_own(spark):
+    judged = quality.judge_quality(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en'"))
+    limits = judged.groupBy("source").agg(*(F.max(f"rate_{r}").alias(r) for r in quality.COUNTS), F.max("least_word_length").alias("low"), F.max("most_word_length").alias("high")).collect()
+    for name in ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "low", "high"):
+        assert len({r[name] for r in limits}) > 3, name
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    told = judged.where("NOT base_failed").join(labels, "doc_id").groupBy("quality").agg(F.count_if("kept").alias("kept"), F.count("*").alias("n")).collect()
+    shares = {r["quality"]: r["kept"] / r["n"] for r in told}
+    assert shares[1] > 0.995 and shares[0] < 0.05
 
 
 def test_thresholds_follow_each_group(spark):

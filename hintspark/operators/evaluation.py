@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from hintspark.plans.numbering import Ordered
+
 
 def rank_metrics(first: DataFrame, sets: list[str], rank: str = "first_rank") -> DataFrame:
     """Recall at 1, 5 and 10, mean reciprocal rank, mean rank and nearest-rank percentiles of first
@@ -118,7 +120,7 @@ def group_bootstrap_delta(rows: DataFrame, group: str, label: str, a: Column, b:
     counts = rows.groupBy(group).agg(
         F.count_if(truth).alias("p"), F.count_if(~truth).alias("n"), F.count_if(truth & a).alias("ap"), F.count_if(~truth & ~a).alias("an"), F.count_if(truth & b).alias("bp"), F.count_if(~truth & ~b).alias("bn")
     )
-    counts = counts.withColumn("number", F.row_number().over(W.orderBy(F.sha2(F.concat_ws(":", F.lit(seed), group), 256), group)) - 1)
+    counts = Ordered(counts, [F.sha2(F.concat_ws(":", F.lit(seed), group), 256), F.col(group)]).numbered("number").withColumn("number", F.col("number") - 1)
     size = counts.agg(F.count("*").alias("groups"))
     draws = counts.select(F.col("number").alias("slot")).join(F.broadcast(size)).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "replicate", "slot"), 256), 1, 8), 16, 10).cast("long") % F.col("groups")
@@ -134,8 +136,7 @@ def calibrate_budget(rows: DataFrame, score: str, baseline: str, helper: str, pe
     """
     gain = pages(F.col(baseline), size) - pages(F.col(helper), size)
     levels = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(gain).alias("gain"))
-    down = W.orderBy(F.col("threshold").desc())
-    upto = levels.select("threshold", F.sum("n").over(down).alias("calls"), F.sum("gain").over(down).alias("saved"))
+    upto = Ordered(levels, [F.col("threshold").desc()]).running({"calls": F.col("n"), "saved": F.col("gain")}).select("threshold", "calls", "saved")
     whole = rows.agg(F.count("*").alias("all"), F.sum(pages(F.col(baseline), size)).alias("base"))
     good = upto.join(F.broadcast(whole)).where((F.col("calls") * 100 <= F.col("all") * percent) & (F.col("saved") > 0))
     best = good.agg(F.max(F.struct("saved", -F.col("calls"), "threshold")).alias("m"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hintspark.operators import evaluation as E
+from hintspark.plans.numbering import Ordered
 
 
 def gated(intent: Column, source: Column, guard: Column, confidence: Column, margin: Column, least: float = 0.9, gap: float = 0.05) -> Column:
@@ -106,7 +107,6 @@ def selected_ranking(ranks: DataFrame, chosen: Column, baseline: str, merged: st
 
 def rotate_folds(rows: DataFrame, group: str, folds: int = 3) -> DataFrame:
     """rows with fold, part: each row trains one fold, validates another and tests a third, by its group's number."""
-    number = W.orderBy(group)
-    groups = rows.select(group).distinct().withColumn("__n", (F.row_number().over(number) - 1) % folds)
+    groups = Ordered(rows.select(group).distinct(), [group]).numbered("__n").withColumn("__n", (F.col("__n") - 1) % folds)
     parts = F.explode(F.transform(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: F.struct(f.alias("fold"), F.when(F.col("__n") == f, "test").when(F.col("__n") == (f + 1) % folds, "train").when(F.col("__n") == (f + 2) % folds, "validation").otherwise("train").alias("part"))))
-    return rows.join(F.broadcast(groups), group).select(*rows.columns, parts.alias("__p")).select(*rows.columns, "__p.fold", "__p.part")
+    return rows.join(groups, group).select(*rows.columns, parts.alias("__p")).select(*rows.columns, "__p.fold", "__p.part")

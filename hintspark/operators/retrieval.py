@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from hintspark.functions import text as X
+from hintspark.plans.numbering import Ordered
+from hintspark.plans.shared import SharedTables
 
 K1, B = 1.2, 0.75
 
@@ -149,28 +151,74 @@ def explicit_path_matches(queries: DataFrame, paths: DataFrame, query_id: str, k
     return ranked(best, [query_id], [F.col("segments").desc(), F.col("bytes").desc(), F.col("path")], k)
 
 
+def zero_runs(positive: DataFrame, places: DataFrame, queries: DataFrame, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
+    """(query_id, first, last, before): for every query the runs of catalog places without a score, and how many scored
+    places lie before each. The document at a run's place p has rank positives + p - before.
+
+    positive: (query_id, id) with a score; places: (id, place) of the whole catalog, places counting from 1. There is at
+    most one run more than there are scored documents, so a complete order takes no more rows than a positive one.
+    """
+    size = places.agg(F.max("place").alias("n"))
+    ends = queries.select(query_id).distinct().join(F.broadcast(size)).select(query_id, (F.col("n") + 1).alias("place"))  # one row
+    scored = positive.select(query_id, id_col).join(places, id_col).select(query_id, "place").unionByName(ends)
+    order = W.partitionBy(query_id).orderBy("place")
+    gaps = scored.select(query_id, (F.coalesce(F.lag("place").over(order), F.lit(0)) + 1).alias("first"), (F.col("place") - 1).alias("last"), (F.row_number().over(order) - 1).alias("before"))
+    return gaps.where("first <= last")
+
+
+def complete_order(positive: DataFrame, docs: DataFrame, queries: DataFrame, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
+    """(query_id, id, rank, score) of every document for every query: scored ones as ranked, then all others in catalog order.
+
+    positive: (query_id, id, rank, score). Ranks of documents without a score come from the runs between scored places,
+    which are only unrolled here; no query meets the catalog in a join of all with all.
+    """
+    tables = SharedTables(docs.sparkSession, "complete-order")
+    places = tables.keep(Ordered(docs.select(id_col).distinct(), [id_col], tables).numbered("place"))
+    positive = tables.keep(positive.select(query_id, id_col, "rank", "score"))
+    counts = positive.groupBy(query_id).agg(F.count("*").alias("positives"))
+    runs = zero_runs(positive, places, queries, query_id, id_col).join(counts, query_id, "left")
+    rest = runs.select(query_id, "before", "positives", F.explode(F.sequence("first", "last")).alias("place"))
+    rank = F.coalesce("positives", F.lit(0)) + F.col("place") - F.col("before")
+    zeros = rest.join(places, "place").select(query_id, id_col, rank.cast("int").alias("rank"), F.lit(0.0).alias("score"))
+    return positive.unionByName(zeros)
+
+
 def interleave(ranks: DataFrame, query_id: str, id_col: str, mode: str = "baseline_first", prefix: int = 0) -> DataFrame:
     """A merged order of two rankings that loses nothing.
 
-    ranks: (query_id, id, baseline_rank, hint_rank or null). Sides take turns, each emitting its
-    next candidate that isn't emitted yet; with after_prefix the first prefix baseline candidates
-    come first. Whether a turn skips depends on all turns before it, so a query is one group.
+    ranks: (query_id, id, baseline_rank, hint_rank or null); baseline ranks count from 1 without gaps, ids don't repeat.
+    Sides take turns, each emitting its next candidate that isn't emitted yet; with after_prefix the first prefix
+    baseline candidates come first. Whether a turn skips depends on the turns before it, but only until a query's hints
+    are used up: m hints take m turns, in which the baseline moves past 2 m candidates at most. So a query's group holds
+    its hints and that part of its baseline; the rest follows in its order, by arithmetic.
     """
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        base = frame.sort_values("baseline_rank")[id_col].tolist()
-        hint = frame.dropna(subset=["hint_rank"]).sort_values("hint_rank")[id_col].tolist()
+        frame = frame.sort_values("baseline_rank")
+        places = dict(zip(frame[id_col].iloc[::-1], frame["baseline_rank"].iloc[::-1]))
+        base, wanted = frame[id_col].tolist(), frame.dropna(subset=["hint_rank"]).sort_values("hint_rank")[id_col].tolist()
         order = dict.fromkeys(base[:prefix] if mode == "after_prefix" else [])
-        sides = [iter(base), iter(hint)] if mode != "hint_first" else [iter(hint), iter(base)]
-        count = len(set(base))  # an id that is repeated is emitted once
-        while len(order) < count:
+        sides = [iter(base), iter(wanted)] if mode != "hint_first" else [iter(wanted), iter(base)]
+        missing = set(wanted) - set(order)
+        while missing:
             for side in sides:
-                order.update(dict.fromkeys([next((x for x in side if x not in order), None)]))
-            order.pop(None, None)
-        return pd.DataFrame({query_id: frame[query_id].iloc[0], id_col: list(order), "rank": range(1, len(order) + 1)})
-
-    out = ranks.select(query_id, id_col).schema.add("rank", "integer")
-    return ranks.select(query_id, id_col, "baseline_rank", "hint_rank").groupBy(query_id).applyInPandas(merge, out)
+                found = next((x for x in side if x not in order), None)
+                if found is not None:
+                    order[found] = None
+                    missing.discard(found)
+        return pd.DataFrame({query_id: frame[query_id].iloc[0], id_col: list(order), "baseline_rank": [places[x] for x in order], "rank": range(1, len(order) + 1)})
+
+    tables = SharedTables(ranks.sparkSession, "interleave")
+    given = tables.keep(ranks.select(query_id, id_col, "baseline_rank", "hint_rank"))
+    hints = given.groupBy(query_id).agg(F.count("hint_rank").alias("__hints"))
+    head = given.join(hints, query_id).where(F.col("hint_rank").isNotNull() | (F.col("baseline_rank") <= 2 * F.col("__hints") + prefix)).drop("__hints")
+    kinds = given.schema
+    merged = tables.keep(head.groupBy(query_id).applyInPandas(merge, T.StructType([kinds[query_id], kinds[id_col], kinds["baseline_rank"], T.StructField("rank", T.IntegerType())])))
+    taken = merged.groupBy(query_id).agg(F.sort_array(F.collect_list("baseline_rank")).alias("__taken"))  # as many as the groups above
+    rest = given.join(merged.select(query_id, id_col), [query_id, id_col], "left_anti").join(taken, query_id, "left")
+    earlier = F.size(F.filter(F.coalesce("__taken", F.array().cast(T.ArrayType(kinds["baseline_rank"].dataType))), lambda r: r < F.col("baseline_rank")))
+    after = F.coalesce(F.size("__taken"), F.lit(0)) + F.col("baseline_rank") - earlier
+    return merged.select(query_id, id_col, "rank").unionByName(rest.select(query_id, id_col, after.cast("int").alias("rank")))
 
 
 def page_of(rank: Column, size: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hintspark.functions import text as X
+from hintspark.plans.numbering import Ordered, numbered_within
 from hintspark.plans.components import connected_components
 from hintspark.plans.shared import SharedTables
 
@@ -31,7 +32,7 @@ def shared_key_components(rows: DataFrame, row_id: str, keys: dict[str, Column])
 def component_report(members: DataFrame, row_id: str) -> DataFrame:
     """component, size, representative (least id) and a signature of its members' ids."""
     return members.groupBy("component").agg(
-        F.count("*").alias("size"), F.min(row_id).alias("representative"), X.framed_list_digest(F.collect_list(F.col(row_id).cast("string"))).alias("signature")
+        F.count("*").alias("size"), F.min(row_id).alias("representative"), X.set_digest(F.col(row_id).cast("string")).alias("signature")
     )
 
 
@@ -47,14 +48,13 @@ def select_components(report: DataFrame, n: int) -> DataFrame:
 def fill_splits(groups: DataFrame, stages: list[tuple[str, int]], rest: str, group: str, size: str, seed: str) -> DataFrame:
     """group, size, split: whole groups in a seeded order, each stage until it has its minimum of rows.
 
-    A stage starts its sum anew with the groups that are left. There are a few stages, and groups,
-    not rows, are ordered.
+    A stage starts its sum anew with the groups that are left. There are a few stages. Groups are
+    ordered once, in ranges; a stage adds the ranges' sums up.
     """
-    left = groups.select(group, size, seeded_order(seed, F.col(group)).alias("o"))
-    filled = None
+    ordered = Ordered(groups.select(group, size, seeded_order(seed, F.col(group)).alias("o")), ["o", group])
+    left, filled = ordered.rows, None
     for name, minimum in stages:
-        before = F.coalesce(F.sum(size).over(W.orderBy("o", group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        dealt = left.withColumn("taken", before < minimum)
+        dealt = ordered.running({"upto": F.col(size)}, left).withColumn("taken", F.col("upto") - F.col(size) < minimum).drop("upto")
         part = dealt.where("taken").select(group, size, F.lit(name).alias("split"))
         filled = part if filled is None else filled.unionByName(part)
         left = dealt.where("NOT taken").drop("taken")
@@ -107,7 +107,7 @@ def largest_remainder(n: Column, shares: tuple[int, ...] = (3, 1, 1)) -> list[Co
 def assign_roles(components: DataFrame, component: str, known: Column, seed: str, roles: tuple[str, ...] = ("train", "validation", "final")) -> DataFrame:
     """component, role: known ones in a seeded order, cut at 3:1:1 by largest remainder; others are provenance only."""
     some = components.where(known).select(component, seeded_order(seed, F.col(component)).alias("o"))
-    numbered = some.withColumn("place", F.row_number().over(W.orderBy("o", component))).withColumn("n", F.count("*").over(W.partitionBy()))
+    numbered = Ordered(some, ["o", component]).numbered().join(F.broadcast(some.agg(F.count("*").alias("n"))))  # one row
     first, second, _ = largest_remainder(F.col("n"))
     role = F.when(F.col("place") <= first, roles[0]).when(F.col("place") <= first + second, roles[1]).otherwise(roles[2])
     return numbered.select(component, role.alias("role")).unionByName(components.where(~known).select(component, F.lit("provenance").alias("role")))
@@ -163,10 +163,9 @@ def first_per_group(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 
 def fair_order(rows: DataFrame, role: str, repository: str, row_id: str) -> DataFrame:
     """rows with place: roles take turns, and inside a role its repositories do."""
-    inside = F.row_number().over(W.partitionBy(role, repository).orderBy(row_id))
-    turned = rows.withColumn("__round", inside)
-    queued = turned.withColumn("__queue", F.row_number().over(W.partitionBy(role).orderBy("__round", repository)))
-    return queued.withColumn("place", F.row_number().over(W.orderBy("__queue", role))).drop("__round", "__queue")
+    turned = numbered_within(rows, [role, repository], [row_id], "__round")
+    queued = numbered_within(turned, [role], ["__round", repository], "__queue")
+    return Ordered(queued, ["__queue", role]).numbered().drop("__round", "__queue")
 
 
 def balanced_draws(families: DataFrame, family: str, label: str, need: int, seed: str) -> DataFrame:

@@ -6,6 +6,8 @@ driver and given to the ranges behind it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from hintspark.plans.shared import SharedTables
@@ -52,5 +54,6 @@ class Ordered:
 def numbered_within(rows: DataFrame, by: list[str], order: list[Column | str], name: str, tables: SharedTables | None = None) -> DataFrame:
     """rows with their place inside their group, counted from 1; a large group is spread over ranges."""
     placed = Ordered(rows, [*by, *order], tables).numbered(name)
-    first = placed.groupBy(*by).agg(F.min(name).alias("__first"))
-    return placed.join(first, by).withColumn(name, F.col(name) - F.col("__first") + 1).drop("__first")
+    first = placed.groupBy(*(F.col(c).alias(f"__{i}") for i, c in enumerate(by))).agg(F.min(name).alias("__first"))
+    own = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"__{i}")) for i, c in enumerate(by)))
+    return placed.join(first, own).select(*rows.columns, (F.col(name) - F.col("__first") + 1).alias(name))

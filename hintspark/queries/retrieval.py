@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hintspark.functions import text as X
 from hintspark.operators import evaluation as E, retrieval as R
+from hintspark.plans.shared import SharedTables
 from hintspark.queries import table
 from hintspark.queries.text import collapse_sql, identifiers_sql, words_sql
 
@@ -199,17 +200,45 @@ QUERIES["r14_helper_explicit_path"] = (
 )
 
 
+def _complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = R.ranked(_scores(spark, sf_dir).where("score > 0"), ["query_id"], [F.col("score").desc(), F.col("doc_id")])
+    return R.complete_order(top, table(spark, sf_dir, "documents"), _items(spark, sf_dir))
+
+
+_COMPLETE = f"""WITH {_BM25}, every AS (SELECT q.query_id, d.doc_id, coalesce(s.score, 0) AS score FROM (SELECT DISTINCT item_id AS query_id FROM benchmark) q CROSS JOIN documents d LEFT JOIN scores s ON s.query_id = q.query_id AND s.doc_id = d.doc_id),
+    complete AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM every)"""
+QUERIES["r2_complete_order"] = (
+    lambda s, d: _complete(s, d).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score")),
+    f"{_COMPLETE} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM complete",
+)
+
+
 def _merged(mode: str):
+    """All documents by score, with 24 of the scored ones as hints in another order."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        top = R.ranked(_scores(spark, sf_dir), ["query_id"], [F.col("score").desc(), F.col("doc_id")]).withColumnRenamed("rank", "baseline_rank")
-        hints = R.ranked(top.where("doc_id % 3 <> 0"), ["query_id"], [F.sha2(F.col("doc_id").cast("string"), 256)]).select("query_id", "doc_id", F.col("rank").alias("hint_rank"))
-        return R.interleave(top.join(hints, ["query_id", "doc_id"], "left"), "query_id", "doc_id", mode, 5)
+        every = SharedTables(spark, "orders").keep(_complete(spark, sf_dir)).withColumnRenamed("rank", "baseline_rank")
+        hints = R.ranked(every.where("score > 0 AND doc_id % 3 <> 0"), ["query_id"], [F.sha2(F.col("doc_id").cast("string"), 256)], 24).select("query_id", "doc_id", F.col("rank").alias("hint_rank"))
+        return R.interleave(every.join(hints, ["query_id", "doc_id"], "left"), "query_id", "doc_id", mode, 5)
 
     return run
 
 
+def _merged_sql(mode: str) -> str:
+    """Turns as a recursion over the list of emitted documents; what the hints leave follows in its order."""
+    unseen = lambda side, out: f"list_filter({side}, lambda x: NOT list_contains({out}, x))"
+    first, second = ("h", "b") if mode == "hint_first" else ("b", "h")
+    head = "b[:5]" if mode == "after_prefix" else "[]::BIGINT[]"
+    return f"""{_COMPLETE.replace("WITH ", "WITH RECURSIVE ", 1)}, b AS (SELECT query_id, list(doc_id ORDER BY rank) AS b FROM complete GROUP BY query_id),
+    h AS (SELECT query_id, list(doc_id ORDER BY k) AS h FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sha256(doc_id::VARCHAR)) AS k FROM complete WHERE score > 0 AND doc_id % 3 <> 0 QUALIFY k <= 24) GROUP BY query_id),
+    turns AS (SELECT query_id, b, coalesce(h, []) AS h, {head} AS out FROM b LEFT JOIN h USING (query_id)
+      UNION ALL SELECT query_id, b, h, one || {unseen(second, "one")}[:1] FROM (SELECT *, out || {unseen(first, "out")}[:1] AS one FROM turns WHERE len({unseen("h", "out")}) > 0)),
+    ended AS (SELECT query_id, out || {unseen("b", "out")} AS docs FROM turns WHERE len({unseen("h", "out")}) = 0)
+    SELECT query_id, unnest(docs) AS doc_id, unnest(range(1, len(docs) + 1)) AS rank FROM ended"""
+
+
 for _mode in ("baseline_first", "hint_first", "after_prefix"):
-    QUERIES[f"r15_interleave_{_mode}"] = (_merged(_mode), None)
+    QUERIES[f"r15_interleave_{_mode}"] = (_merged(_mode), _merged_sql(_mode))
 
 
 def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from hintspark.queries import table
 from hintspark.queries.text import collapse_sql
 
 QUERIES: dict = {}
+SET_DIGEST_SQL = "sha256(concat_ws(':', count(doc_id), " + ", ".join(f"sum(('0x' || substr(sha256(doc_id::VARCHAR), {8 * i + 1}, 8))::BIGINT)" for i in range(8)) + "))"
 _KEY = lambda: X.normalize_query(F.substring("text", 1, 40))
 _KEY_SQL = collapse_sql("lower(substr(text, 1, 40))")
 _LAST = lambda: X.collapse(F.substring(F.col("text"), -30, 30))
@@ -34,7 +35,7 @@ _COMPONENTS = f"""RECURSIVE k AS (SELECT doc_id, source, {_KEY_SQL} AS start, {_
     edges AS (SELECT doc_id AS a, first AS b FROM star UNION SELECT first, doc_id FROM star),
     reach AS (SELECT doc_id, doc_id AS r FROM k UNION SELECT reach.doc_id, edges.b FROM reach JOIN edges ON reach.r = edges.a),
     members AS (SELECT doc_id, min(r) AS component FROM reach GROUP BY doc_id)"""
-_REPORT = "report AS (SELECT component, count(*) AS size, min(doc_id) AS representative, sha256(string_agg(strlen(doc_id::VARCHAR) || ':' || doc_id || chr(10), '' ORDER BY doc_id::VARCHAR)) AS signature FROM members GROUP BY component)"
+_REPORT = "report AS (SELECT component, count(*) AS size, min(doc_id) AS representative, " + SET_DIGEST_SQL + " AS signature FROM members GROUP BY component)"
 QUERIES["g1_components"] = (_members, f"WITH {_COMPONENTS} SELECT * FROM members")
 _report = lambda s, d: S.component_report(_members(s, d), "doc_id")
 QUERIES["g2_component_report"] = (_report, f"WITH {_COMPONENTS}, {_REPORT} SELECT * FROM report")
@@ -143,8 +144,8 @@ QUERIES["g10_coverage_requirements"] = (
     SELECT key, role, minimum, coalesce(have, 0) AS have, coalesce(have, 0) >= minimum AS met FROM p LEFT JOIN c USING (key, role)""",
 )
 QUERIES["g11_membership_digest"] = (
-    lambda s, d: _docs(s, d).groupBy("source").agg(X.framed_list_digest(F.collect_list(F.col("doc_id").cast("string"))).alias("digest"), F.count("*").alias("members")),
-    "SELECT source, sha256(string_agg(strlen(doc_id::VARCHAR) || ':' || doc_id || chr(10), '' ORDER BY doc_id::VARCHAR)) AS digest, count(*) AS members FROM documents GROUP BY source",
+    lambda s, d: _docs(s, d).groupBy("source").agg(X.set_digest(F.col("doc_id").cast("string")).alias("digest"), F.count("*").alias("members")),
+    f"SELECT source, {SET_DIGEST_SQL} AS digest, count(*) AS members FROM documents GROUP BY source",
 )
 QUERIES["g12_hash_split"] = (lambda s, d: _docs(s, d).select("doc_id", S.hash_split(F.col("doc_id"), "dev").alias("split")), f"SELECT doc_id, {_SPLIT_SQL} AS split FROM documents")
 QUERIES["g13_assert_disjoint"] = (

@@ -7,7 +7,8 @@ the key and the other half. What is put in place of x is p^-1(p(x) moved on by o
 again, and without fixed points. So different entities get different surrogates and none stays as it
 is; the same entity gets the same one in every document, without a table to look up. A surrogate that
 would be read as another type of entity is replaced by its own surrogate, which keeps the map a
-permutation of its type. Letters stay in their script and case and vowels of names vowels; a given
+permutation of its type. Numbers are permuted as digits and emails as lower case, so that the spellings of one
+entity keep one identity; the spelling is laid on again. Letters stay in their script and case and vowels of names vowels; a given
 name of the stock becomes another one of its gender and script, and the last letter of a surname
 stays, as titles do, so that gender shows as before.
 """
@@ -83,6 +84,7 @@ ENTITIES = {
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
     "secret": rf"""(?<=[=:"'\s])(?=[A-Za-z0-9+/_-]{{8}})(?<=[=:]["'\s]{{0,5}})(?<={_KEYWORD}["']?\s{{0,3}}[=:]\s{{0,3}}["']?)[A-Za-z0-9+/_-]{{8,}}"""
     r"|(?=[0-9a-fA-F])(?<![\p{L}\p{N}])(?=[a-fA-F]{0,31}\d)[0-9a-fA-F]{32,}(?![\p{L}\p{N}])",
+    "ipv6": r"(?=[0-9a-fA-F]{1,4}:)(?<![\p{L}\p{N}:.])(?=[a-fA-F:]{0,38}\d)(?:(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}|(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6})(?![\p{L}\p{N}:])",
     "iban": r"(?=[A-Z]{2}\d{2})(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "phone": r"\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\d)|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     r"|(?=\()(?<![\d(])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?=\d)(?<![\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
@@ -97,6 +99,10 @@ HINT, HINT_OF_NAMES, HINT_OF_SECRETS = "[@0-9]", rf"(?=[\p{{Lu}}г])(?<!\p{{L}})
 #: What a name, a card number, a secret of hexadecimal digits and a national phone number look like.
 A_NAME, A_CARD, A_HEX, A_ZERO = r"^\p{Lu}[\p{L} -]+$", r"^\d[\d -]{11,}\d$", "^(?:[0-9a-f]{8,}|[0-9A-F]{8,})$", r"^0\d+[ /.-]"
 A_PHONE = f"^(?:{ENTITIES['phone']})$"
+#: Spelled forms: an IBAN, an IPv6 address, a number with country code, and a ten-digit number of three groups.
+AN_IBAN, AN_IPV6, A_PLUS, A_TEN = r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$", "^(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{1,4}$", r"^\+", r"^\(?\d{3}\)?[ .-]*\d{3}[ .-]\d{4}$"
+#: The country codes of telephone numbers; all that aren't named have three digits.
+COUNTRY_CODE = r"^(?:1|7|2[07]|3[0-46-9]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 ROUNDS, WALKS = 4, 8
 
 
@@ -163,12 +169,83 @@ def _luhn(digits: Column) -> Column:
     return (F.lit(10) - F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10) % 10
 
 
+def _signs(e: Column, other: str) -> Column:
+    """What tells an entity from others, however it is spelled: e without the characters that match other."""
+    return F.regexp_replace(e, other, "")
+
+
+def _respelled(e: Column, new: Column, sign: str) -> Column:
+    """e with new's characters in the places of its signs."""
+    place = lambda i: F.length(_signs(F.substring(e, F.lit(1), i + 1), f"[^{sign}]"))
+    return F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c.rlike(f"[{sign}]"), F.substring(new, place(i), F.lit(1))).otherwise(c)), "")
+
+
 def _card(e: Column, key: str) -> Column:
-    """The issuer's first digit stays, and so does the check digit's distance from the right one."""
-    digits = lambda x: F.regexp_replace(x, "[^0-9]", "")
-    body, last = F.substring(e, F.lit(1), F.length(e) - 1), F.substring(e, F.length(e), F.lit(1)).cast("int")
-    new = F.concat(F.substring(e, 1, 1), permuted(F.substring(body, F.lit(2), F.length(e)), (DIGITS,), key, F.lit("card")))
-    return _let(new, lambda n: F.concat(n, ((last - _luhn(digits(body)) + _luhn(digits(n)) + 10) % 10).cast("string")))
+    """The issuer's first digit stays, and so does the check digit's distance from the right one. Groups don't count."""
+
+    def new(digits: Column) -> Column:
+        body, last = F.substring(digits, F.lit(1), F.length(digits) - 1), F.substring(digits, F.length(digits), F.lit(1)).cast("int")
+        moved = F.concat(F.substring(digits, 1, 1), permuted(F.substring(body, F.lit(2), F.length(digits)), (DIGITS,), key, F.lit("card")))
+        return _let(moved, lambda n: F.concat(n, ((last - _luhn(body) + _luhn(n) + 10) % 10).cast("string")))
+
+    return _respelled(e, _let(_signs(e, "[^0-9]"), new), "0-9")
+
+
+def _iban_check(country: Column, account: Column) -> Column:
+    """The check digits, as a number, that belong to an account."""
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    add = lambda r, c: (r * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97
+    return 98 - F.aggregate(F.filter(F.split(F.concat(account, country, F.lit("00")), ""), lambda c: c != ""), F.lit(0), add)
+
+
+def is_iban(e: Column) -> Column:
+    """Whether a text has the form of an IBAN and right check digits."""
+    plain = lambda x: F.substring(x, 3, 2).cast("int") == _iban_check(F.substring(x, 1, 2), F.substring(x, 5, 40))
+    return F.when(e.rlike(AN_IBAN), _let(_signs(e, " "), plain)).otherwise(False)
+
+
+def _iban(e: Column, key: str) -> Column:
+    """The country stays, and so does the distance of the check digits from the right ones. Blanks don't count."""
+
+    def new(x: Column) -> Column:
+        country, check, account = F.substring(x, 1, 2), F.substring(x, 3, 2).cast("int"), F.substring(x, 5, 40)
+        moved = permuted(account, (DIGITS, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), key, F.lit("iban"))
+        return _let(moved, lambda m: F.concat(country, F.lpad(((check - _iban_check(country, account) + _iban_check(country, m) + 100) % 100).cast("string"), 2, "0"), m))
+
+    return _respelled(e, _let(_signs(e, " "), new), "A-Z0-9")
+
+
+def _phone(e: Column, key: str) -> Column:
+    """The country code stays; a number of ten digits is that of +1 in another spelling. Signs between digits don't count."""
+
+    def new(digits: Column) -> Column:
+        head = F.when(e.rlike(A_PLUS), F.regexp_extract(digits, COUNTRY_CODE, 0)).otherwise("")
+        return _let(head, lambda h: F.concat(h, permuted(F.substring(digits, F.length(h) + 1, F.length(digits)), (DIGITS,), key, F.lit("phone"))))
+
+    return _respelled(e, _let(_signs(e, "[^0-9]"), new), "0-9")
+
+
+def _in_case_of(e: Column, new: Column) -> Column:
+    """new, of e's length, with capitals where e has them."""
+    high = lambda c, o: F.when((o != F.lower(o)) & (F.length(F.upper(c)) == 1), F.upper(c)).otherwise(c)
+    return F.array_join(F.zip_with(F.split(new, ""), F.split(e, ""), high), "")
+
+
+def _ipv6(e: Column, key: str) -> Column:
+    """The hexadecimal digits are permuted; groups, and capitals where there are any, stay."""
+    new = _let(F.lower(_signs(e, ":")), lambda x: permuted(x, HEX, key, F.lit("ipv6")))
+    return _respelled(e, F.when(e.rlike("[A-F]"), F.upper(new)).otherwise(new), "0-9a-fA-F")
+
+
+def _email(e: Column, key: str) -> Column:
+    """All but the top-level domain is permuted in lower case; capitals stay where they are."""
+
+    def new(low: Column) -> Column:
+        head = F.regexp_extract(low, r"^.*(?=\.[^.]*$)", 0)
+        moved = _let(head, lambda h: F.concat(permuted(h, PLAIN, key, F.lit("email")), F.substring(low, F.length(h) + 1, F.length(low))))
+        return F.when(e == low, moved).otherwise(_in_case_of(e, moved))
+
+    return _let(F.when(F.length(F.lower(e)) == F.length(e), F.lower(e)).otherwise(e), new)
 
 
 def _ip(e: Column, key: str) -> Column:
@@ -215,12 +292,8 @@ def _parts(e: Column, given: Column) -> Column:
         own = part(none, F.substring(w, F.lit(1), F.length(w) - stays), F.substring(w, F.length(w) - stays + 1, stays), "name")
         return F.when(next_one.isNotNull(), part(next_one, none, F.substring(w, F.length(only) + 1, F.length(w)), "name")).otherwise(own)
 
-    head = F.regexp_extract(e, r"^.*(?=\.[^.]*$)", 0)  # of an email, up to the top-level domain
     return (
-        F.when(F.instr(e, "@") > 0, F.array(part(none, head, F.substring(e, F.length(head) + 1, size), "email")))
-        .when(e.rlike(r"^\+"), after(r"^\+\d{1,3}", "phone"))
-        .when(e.rlike(A_ZERO), after("^0", "national"))
-        .when(e.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9 ]{8,}$"), after("^[A-Z]{2}", "iban"))
+        F.when(e.rlike(A_ZERO), after("^0", "national"))
         .when(e.rlike(A_NAME), F.transform(F.split(e, "(?<=[ -])"), word))
         .otherwise(F.array(part(none, e, none, "other")))
     )
@@ -247,8 +320,12 @@ def surrogate(entity: Column, key: str) -> Column:
     hexed = lambda e: permuted(F.lower(e), HEX, key, F.lit("hex"))
     found = _let(
         entity,
-        lambda e: F.when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), _ip(e, key))
+        lambda e: F.when(F.instr(e, "@") > 0, _email(e, key))
+        .when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), _ip(e, key))
+        .when(e.rlike(A_PLUS) | e.rlike(A_TEN), _phone(e, key))
         .when(e.rlike(A_CARD) & ~e.rlike(A_PHONE), _card(e, key))
+        .when(e.rlike(AN_IPV6), _ipv6(e, key))
+        .when(e.rlike(AN_IBAN) & (is_iban(e) | ~e.rlike(A_HEX)), _iban(e, key))
         .when(e.rlike(A_HEX), _let(hexed(e), lambda h: F.when(e == F.lower(e), h).otherwise(F.upper(h))))
         .otherwise(F.array_join(F.transform(_parts(e, given), moved), "")),
     )

@@ -527,6 +527,34 @@ def test_surrogates_keep_form_and_coreference(spark):
     assert pii.replace_entities(docs(spark, [(1, TEXT, "en", "a", 0)]), key="other").first()["text"] != t
 
 
+def iban_rest(iban):
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_spellings_of_one_entity_keep_one_identity(spark):
+    groups = [
+        ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"], ["a@b.co", "A@B.CO", "A@b.co"], ["+1 (415) 555-2671", "+1 415 555 2671", "+14155552671"],
+        ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432"], ["+49 30 1234567", "+49 (30) 123-4567"], ["2001:db8:0:0:0:ff00:42:8329", "2001:DB8:0:0:0:FF00:42:8329"],
+    ]
+    entities = spark.createDataFrame([(e,) for g in groups for e in g], "entity string")
+    new = {r["entity"]: r["s"] for r in entities.select("entity", pii.surrogate(F.col("entity"), "k").alias("s")).collect()}
+    plain = lambda e: re.sub(r"[^\w@]", "", e).lower()
+    shape = lambda e: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", e)))
+    for g in groups:
+        assert len({plain(new[e]) for e in g}) == 1 and not {plain(new[e]) for e in g} & {plain(e) for e in g}
+        assert all(len(new[e]) == len(e) for e in g)
+    for e in groups[0] + groups[2] + groups[5]:
+        assert shape(new[e]) == shape(e) and new[e][:2] == e[:2] or e in groups[0]
+    for e in groups[3] + groups[4]:
+        assert new[e][:2] == e[:2] and iban_rest(new[e]) == iban_rest(e) == 1
+    wrong = "DE88370400440532013000"  # no right check digits: kept wrong, or hexadecimal if it may be
+    text = f"from 2001:db8::ff00:42:8329 to {groups[3][1]}, {wrong} at 12:30:45 std::vector 3::2"
+    got = pii.replace_entities(docs(spark, [(1, text, "en", "a", 0)])).first()
+    assert "db8::" not in got["text"] and got["text"].endswith("at 12:30:45 std::vector " + got["text"].split()[-1]) and "3704" not in got["text"]
+    assert re.match(r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4} to DE\d{2} \d{4}", got["text"])
+
+
 def brute_entities(text):
     """The same patterns by another engine, with no guards before them."""
     import regex

@@ -22,7 +22,7 @@ from hintspark.plans.shared import SharedTables, arrow_rows
 WORDS, PICKED, HASHES, SIMILARITY = 5, 3, 24, 0.8
 #: Rare words that two near-duplicates share at least, beyond those that may be edited, and the bins
 #: that tell rare from frequent; bins change what is compared first, never the result.
-SHARED, BINS = 3, 2**20
+SHARED, BINS, RUN = 3, 2**20, 2**12
 _DRAW = np.random.default_rng(29)
 _MIX = _DRAW.integers(1, 2**63, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _HASH = _DRAW.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -284,7 +284,11 @@ def needed(n: int) -> int:
 
 
 def _levels(texts: DataFrame) -> np.ndarray:
-    """How frequent the labelled words of each bin are: zero for one at most, four more for twice as many."""
+    """How frequent the labelled words of each bin are: zero for one at most, four more for twice as many.
+
+    Tasks pass on counts of bins; runs of bins are packed into a byte each before they reach the
+    driver, which gets BINS bytes, however many texts there are.
+    """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
@@ -294,9 +298,16 @@ def _levels(texts: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bin", "n"])
 
-    counted = texts.select("words").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    def pack(run: pa.Table) -> pa.Table:
+        packed = np.zeros(RUN, np.uint8)
+        packed[run["bin"].to_numpy() % RUN] = np.ceil(4 * np.log2(run["n"].to_numpy().astype(float)))
+        return pa.table({"run": run["run"].slice(0, 1), "levels": pa.array([packed.tobytes()], pa.binary())})
+
+    counted = texts.select("words").mapInArrow(count, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    runs = counted.withColumn("run", F.floor(F.col("bin") / RUN).cast("int")).groupBy("run").applyInArrow(pack, "run int, levels binary")
     levels = np.zeros(BINS, np.uint8)
-    levels[counted["bin"].to_numpy(np.int64)] = np.ceil(4 * np.log2(counted["n"].to_numpy(np.float64)))
+    for r in runs.collect():
+        levels[r["run"] * RUN : (r["run"] + 1) * RUN] = np.frombuffer(r["levels"], np.uint8)
     return levels
 
 

@@ -39,7 +39,7 @@ CLASSES = 1 + OWN + SHAPES
 HOT_WORDS, HOT_BYTES = 65_536, 4 << 20
 ADD = 0.1
 #: Cells of time and text that are held at once, and steps of time in a block.
-CELLS, BLOCK = 1 << 19, 1 << 15
+CELLS, BLOCK = 1 << 20, 1 << 15
 #: Words that a task counts before it passes them on.
 COUNTED = 400_000
 
@@ -57,22 +57,23 @@ def ending(word: bytes) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    taught, every = Counter(), Counter()
+    counters = (Counter(), Counter())  # of texts that don't teach, and of those that do
 
     def put() -> pa.RecordBatch:
-        words = list(every)
-        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "taught": pa.array([taught[w] for w in words], pa.int64()), "every": pa.array([every[w] for w in words], pa.int64())})
+        other, taught = counters
+        words = list(taught) + [w for w in other if w not in taught]
+        known = [taught[w] for w in words]
+        every = [k + other[w] for k, w in zip(known, words)]
+        other.clear()
+        taught.clear()
+        return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "taught": pa.array(known, pa.int64()), "every": pa.array(every, pa.int64())})
 
     for batch in batches:
         for text, teaches in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-            words = tokens(text or b"")
-            every.update(words)
-            if teaches:
-                taught.update(words)
-            if len(every) > COUNTED:
+            counters[bool(teaches)].update(tokens(text or b""))
+            if len(counters[0]) + len(counters[1]) > COUNTED:
                 yield put()
-                taught, every = Counter(), Counter()
-    if every:
+    if counters[0] or counters[1]:
         yield put()
 
 
@@ -131,6 +132,25 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
 ENCODED = "row long, doc_id long, teaches boolean, n_tokens long, known long, logs double, inner double, classes binary, rare array<binary>, times array<long>"
 
 
+class _Codes(dict):
+    """Numbers of words: those of frequent words are fixed, others are given as words come; names and kinds tell them apart."""
+
+    def __init__(self, hot: dict[bytes, tuple[int, int]]):
+        super().__init__((w, i) for i, w in enumerate(hot))
+        self.fixed, self.names, self.kinds = len(hot), [], []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = self.fixed + len(self.names)
+        self.names.append(word)
+        self.kinds.append(ending(word))
+        return code
+
+    def forget(self) -> None:
+        for word in self.names:
+            del self[word]
+        self.names, self.kinds = [], []
+
+
 def encoded(docs: DataFrame, teaches: Column, words: Vocabulary) -> DataFrame:
     """Texts as classes. known, logs and inner hold what frequent words and ends add to n_known, to the sum of
     log10(count + 0.1), and to the words' log10 shares of their classes; rare and times the other words."""
@@ -138,29 +158,37 @@ def encoded(docs: DataFrame, teaches: Column, words: Vocabulary) -> DataFrame:
     log_end, end_known = math.log10(words.ends + ADD), int(words.ends > 0)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        class_of = {w: k for w, (k, _) in hot.items()}
-        log_of = {w: math.log10(c + ADD) for w, (_, c) in hot.items()}
-        inner_of = {w: log_of[w] if k > OWN else 0.0 for w, (k, _) in hot.items()}
-        unseen = {w for w, (_, c) in hot.items() if not c}
+        codes = _Codes(hot)
+        fixed = codes.fixed
+        kinds_hot = np.array([k for k, _ in hot.values()], np.uint16)
+        counts = np.array([c for _, c in hot.values()], float)
+        # of frequent words, and in the last place what all others have
+        logs = np.append(np.log10(counts + ADD), 0.0)
+        inner = np.append(np.where(kinds_hot > OWN, logs[:-1], 0.0), 0.0)
+        known = np.append(counts > 0, False).astype(np.int64)
         for batch in batches:
-            out = {name: [] for name in ("n_tokens", "known", "logs", "inner", "classes", "rare", "times")}
-            for text in batch.column(3).cast(pa.binary()).to_pylist():
+            texts, flat = batch.column(3).cast(pa.binary()).to_pylist(), []
+            sizes = np.zeros(len(texts), np.int64)
+            for i, text in enumerate(texts):
                 found = tokens(text or b"")
-                kinds = np.zeros(len(found) + 1, np.uint16)
-                if found:
-                    kinds[:-1] = [k if (k := class_of.get(w)) else ending(w) for w in found]
-                times = Counter(found)
-                rare = [w for w in times if w not in class_of]
-                common = [w for w in times if w in class_of]
-                out["n_tokens"].append(len(found) + 1)
-                out["known"].append(sum(times[w] for w in common if w not in unseen) + end_known)
-                out["logs"].append(math.fsum(times[w] * log_of[w] for w in common) + log_end)
-                out["inner"].append(math.fsum(times[w] * inner_of[w] for w in common) - float(shares[kinds].sum()))
-                out["classes"].append(kinds.tobytes())
-                out["rare"].append(rare)
-                out["times"].append([times[w] for w in rare])
-            kinds_of = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "inner": pa.float64(), "classes": pa.binary(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, kinds_of[n]) for n, v in out.items())], names=["row", "doc_id", "teaches", *out])
+                sizes[i] = len(found)
+                flat.append(np.fromiter([codes[w] for w in found], np.int64, len(found)))
+            code, owner = np.concatenate([np.zeros(0, np.int64), *flat]), np.repeat(np.arange(len(texts)), sizes)
+            place = np.minimum(code, fixed)
+            kinds = np.append(kinds_hot, np.array(codes.kinds, np.uint16))[code]
+            total = lambda values: np.bincount(owner, values, len(texts)).astype(float)  # noqa: E731, B023
+            out = {"n_tokens": pa.array(sizes + 1), "known": pa.array(total(known[place]).astype(np.int64) + end_known), "logs": pa.array(total(logs[place]) + log_end), "inner": pa.array(total(inner[place] - shares[kinds]))}
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            out["classes"] = pa.array([kinds[a:b].tobytes() + b"\0\0" for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+            rare = code >= fixed
+            span = max(1, len(codes.names))
+            pairs, times = np.unique(owner[rare] * span + code[rare] - fixed, return_counts=True)
+            cuts = np.searchsorted(pairs, np.arange(len(texts) + 1) * span).astype(np.int32)
+            names = pa.array(codes.names, pa.binary()).take(pa.array(pairs % span))
+            out |= {"rare": pa.ListArray.from_arrays(cuts, names), "times": pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int64)))}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *out.values()], names=["row", "doc_id", "teaches", *out])
+            if len(codes.names) > COUNTED:
+                codes.forget()
 
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), teaches.alias("teaches"), "text").mapInArrow(encode, ENCODED)
 
@@ -211,15 +239,17 @@ def _blocks(lot: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _forward(model: Model, kinds: np.ndarray, goes: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward vectors, scales and what is put out, in a block of time; before: the vectors at its start."""
-    puts = model.puts.T[kinds]
+    """Scaled forward vectors (states, time, text), scales and what is put out, in a block of time; before: the vectors
+    at its start. Texts are the last axis, so that every operation of a step runs along many of them."""
+    puts = np.take(model.puts, kinds, axis=1, mode="clip")
     ahead, scales = np.zeros_like(puts), np.ones(kinds.shape, puts.dtype)
+    step, ones = np.ascontiguousarray(model.step.T), np.ones((1, len(model.start)), puts.dtype)
     for t, n in enumerate(goes):
-        now = (model.start * puts[t, :n]) if before is None else (before[:n] @ model.step) * puts[t, :n]
-        size = now.sum(1)
-        now /= size[:, None]
-        ahead[t, :n], scales[t, :n] = now, size
-        before = now
+        now = np.repeat(model.start[:, None], n, axis=1) if before is None else step @ before[:, :n]
+        now *= puts[:, t, :n]
+        size = ones @ now
+        now /= size
+        ahead[:, t, :n], scales[t, :n], before = now, size[0], now
     return ahead, scales, puts
 
 
@@ -232,7 +262,7 @@ def likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         for kinds, goes in _blocks(lot):
             ahead, scales, _ = _forward(model, kinds, goes, before)
             total[: goes[0]] += np.log10(scales).sum(0)
-            before = ahead[-1]
+            before = ahead[:, -1]
         out[order[done : done + len(lot)]] = total
         done += len(lot)
     return out
@@ -246,31 +276,30 @@ def expected(model: Model, texts: list[np.ndarray]) -> np.ndarray:
         blocks = _blocks(lot)
         enters = [None]
         for kinds, goes in blocks[:-1]:  # of all but the last block, only the vectors at its end are held
-            enters.append(_forward(model, kinds, goes, enters[-1])[0][-1])
-        after = np.ones((0, states))
+            enters.append(_forward(model, kinds, goes, enters[-1])[0][:, -1])
+        after = np.ones((states, 0), model.puts.dtype)
         for (kinds, goes), enter in zip(reversed(blocks), reversed(enters)):
             ahead, scales, puts = _forward(model, kinds, goes, enter)
-            back = np.ones((goes[0], states), puts.dtype)
-            back[: len(after)] = after
-            puts /= scales[:, :, None]
-            there = np.empty_like(ahead)
+            puts /= scales
+            back = np.zeros_like(puts)
+            now = after
             for t in range(len(goes) - 1, -1, -1):
                 n = goes[t]
-                there[t] = ahead[t]
-                there[t, :n] *= back[:n]
-                puts[t, :n] *= back[:n]
-                puts[t, n:] = 0
-                back[:n] = puts[t, :n] @ model.step.T
-            after = back
-            goes_on = np.arange(kinds.shape[1])[None, :] < goes[:, None]
-            at, weights = kinds[goes_on], there[goes_on]
+                if n > now.shape[1]:  # texts that end here
+                    now = np.hstack([now, np.ones((states, n - now.shape[1]), puts.dtype)])
+                back[:, t, :n] = now
+                now = model.step @ (puts[:, t, :n] * now)
+            after = now
+            puts *= back
+            back *= ahead  # expected states; cells without a text are zero
+            flat = kinds.ravel().astype(np.int64)
             for k in range(states):
-                put[k] += np.bincount(at, weights[:, k], classes)
-            step += model.step * (ahead[:-1].reshape(-1, states).T @ puts[1:].reshape(-1, states))
+                put[k] += np.bincount(flat, back[k].ravel(), classes)
+            step += model.step * (ahead[:, :-1].reshape(states, -1) @ puts[:, 1:].reshape(states, -1).T)
             if enter is None:
-                start += there[0].sum(0)
+                start += back[:, 0].sum(1)
             else:
-                step += model.step * (enter[: goes[0]].T @ puts[0])
+                step += model.step * (enter[:, : goes[0]] @ puts[:, 0].T)
     return np.concatenate([start, step.ravel(), put.ravel()])
 
 

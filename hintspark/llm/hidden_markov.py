@@ -41,7 +41,7 @@ ADD = 0.1
 #: Cells of time and text that are held at once, and steps of time in a block.
 CELLS, BLOCK = 1 << 20, 1 << 15
 #: Words that a task counts before it passes them on.
-COUNTED = 400_000
+COUNTED = 250_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -211,11 +211,11 @@ class Model:
     puts: np.ndarray  # (states, classes)
 
 
-def _side_by_side(texts: list[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Texts in lots of similar length, the longest first; a lot has at most CELLS cells, or is one text."""
+def _side_by_side(texts: list[np.ndarray], most: int) -> Iterator[list[np.ndarray]]:
+    """Texts in lots of similar length, the longest first; a lot has at most so many cells, or is one text."""
     lot: list[np.ndarray] = []
     for text in sorted(texts, key=len, reverse=True):
-        if lot and (len(lot) + 1) * min(len(lot[0]), BLOCK) > CELLS:
+        if lot and (len(lot) + 1) * min(len(lot[0]), BLOCK) > most:
             yield lot
             lot = []
         lot.append(text)
@@ -257,7 +257,7 @@ def likelihood(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """log10 of each text's probability, by the scaled forward recursion."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     out, done = np.zeros(len(texts)), 0
-    for lot in _side_by_side(texts):
+    for lot in _side_by_side(texts, CELLS // 2):  # numbers of twice the size
         before, total = None, np.zeros(len(lot))
         for kinds, goes in _blocks(lot):
             ahead, scales, _ = _forward(model, kinds, goes, before)
@@ -272,7 +272,7 @@ def expected(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Expected starts, steps and outputs, one after another, over texts."""
     states, classes = model.puts.shape
     start, step, put = np.zeros(states), np.zeros((states, states)), np.zeros((states, classes))
-    for lot in _side_by_side(texts):
+    for lot in _side_by_side(texts, CELLS):
         blocks = _blocks(lot)
         enters = [None]
         for kinds, goes in blocks[:-1]:  # of all but the last block, only the vectors at its end are held
@@ -295,7 +295,8 @@ def expected(model: Model, texts: list[np.ndarray]) -> np.ndarray:
             flat = kinds.ravel().astype(np.int64)
             for k in range(states):
                 put[k] += np.bincount(flat, back[k].ravel(), classes)
-            step += model.step * (ahead[:, :-1].reshape(states, -1) @ puts[:, 1:].reshape(states, -1).T)
+            wide = kinds.shape[1]  # a step leads from a cell to the one that lies so many further on
+            step += model.step * (ahead.reshape(states, -1)[:, :-wide] @ puts.reshape(states, -1)[:, wide:].T)
             if enter is None:
                 start += back[:, 0].sum(1)
             else:

@@ -20,6 +20,8 @@ DIMENSION = 1024
 CHARS_AT_ONCE = 1 << 20
 #: Up to this many possible trigrams a lookup table finds the distinct ones, else sorting does.
 TABLE_CELLS = 1 << 23
+#: Distinct trigrams whose counts and vectors are held at once, however large the texts' alphabet is.
+TRIGRAMS = 2048
 
 
 class Bundler:
@@ -88,10 +90,17 @@ class Bundler:
         if not len(numbers):
             return np.zeros((rows, self.dimension), np.float32)
         found, place = self._distinct(numbers)
-        counts = np.bincount(into[owner] * len(found) + place, minlength=rows * len(found)).reshape(rows, len(found))
-        last, middle, first = found % self.count, found // self.count % self.count, found // self.count**2
-        vectors = self.letters[2][first] * self.letters[1][middle] * self.letters[0][last]
-        return counts.astype(np.float32) @ vectors.astype(np.float32)
+        order = np.argsort(place, kind="stable")
+        row, place = into[owner][order], place[order]
+        cuts = np.searchsorted(place, np.arange(0, len(found) + TRIGRAMS, TRIGRAMS))
+        out = np.zeros((rows, self.dimension), np.float32)
+        for at, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):  # counts and vectors of so many trigrams are held at once
+            some = found[at * TRIGRAMS : (at + 1) * TRIGRAMS]
+            counts = np.bincount(row[a:b] * len(some) + place[a:b] - at * TRIGRAMS, minlength=rows * len(some)).reshape(rows, len(some))
+            last, middle, first = some % self.count, some // self.count % self.count, some // self.count**2
+            vectors = self.letters[2][first] * self.letters[1][middle] * self.letters[0][last]
+            out += counts.astype(np.float32) @ vectors.astype(np.float32)
+        return out
 
 
 @dataclass

@@ -39,6 +39,14 @@ def url_node(url: Column) -> Column:
     return F.when(url_host(url) != "", F.concat(url_host(url), F.when(url_path(url) == "", F.lit("/")).otherwise(url_path(url)), query))
 
 
+def with_url_parts(frame: DataFrame, url: Column, host: str, path: str, node: str) -> DataFrame:
+    """frame with the parts of a URL, each made once: as columns of their own they aren't repeated in what uses them."""
+    cut = frame.withColumn("__rest", F.coalesce(_rest(url), F.lit("")))
+    cut = cut.withColumns({host: F.translate(F.regexp_extract("__rest", r"^([^/?#]*)", 1), _UPPER, _LOWER), path: F.regexp_extract("__rest", r"^[^/?#]*([^?#]*)", 1), "__query": F.regexp_extract("__rest", r"^[^?#]*(\?[^#]*)?", 1)})
+    whole = F.concat(F.col(host), F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path)), F.col("__query"))
+    return cut.withColumn(node, F.when(F.col(host) != "", whole)).drop("__rest", "__query")
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
     """struct(rule, verdict) of the longest rule that fits, or null; rules are (verdict, host, path).
 
@@ -71,18 +79,20 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     moves = F.transform(F.regexp_extract_all(html, F.lit(META), F.lit(0)), lambda t: F.regexp_extract(t, GOES_TO, 1))
     raw = pages.where(html.rlike("(?i)canonical|refresh") & (F.instr(F.col(url_col), "://") > 0))
     raw = raw.select(F.col(url_col).alias("url"), F.explode(F.concat(links, moves)).alias("to")).withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
-    scheme = F.regexp_extract("url", r"^(.*?)://", 1)
-    site = F.concat(scheme, F.lit("://"), F.regexp_extract(_rest(F.col("url")), r"^([^/?#]*)", 1))
-    folder = F.regexp_extract(url_path(F.col("url")), r"^(.*/)?", 0)
+    raw = with_url_parts(raw, F.col("url"), "host", "path", "src")
+    raw = raw.withColumns({"scheme": F.regexp_extract("url", r"^(.*?)://", 1), "folder": F.regexp_extract("path", r"^(.*/)?", 0)})
+    raw = raw.withColumn("site", F.concat("scheme", F.lit("://"), F.regexp_extract(_rest(F.col("url")), r"^([^/?#]*)", 1)))
+    scheme, site, folder = F.col("scheme"), F.col("site"), F.col("folder")
     here = F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_replace("to", r"^(?:\./)+", ""))
     whole = (
         F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to")))
         .when(F.startswith("to", F.lit("/")), F.concat(site, F.col("to")))
         .when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("to"))
-        .when(F.startswith("to", F.lit("?")), F.concat(site, url_path(F.col("url")), F.col("to")))
+        .when(F.startswith("to", F.lit("?")), F.concat(site, F.col("path"), F.col("to")))
         .when(~F.startswith("to", F.lit("#")), here)
     )
-    return raw.select(url_node(F.col("url")).alias("src"), url_node(whole).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    ends = with_url_parts(raw.select("src", whole.alias("whole")), F.col("whole"), "to_host", "to_path", "dst")
+    return ends.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
 
 
 def judge_urls(
@@ -106,12 +116,12 @@ def judge_urls(
         edges = edges.unionByName(redirects.select(url_node(F.col("from_url")).alias("src"), url_node(F.col("to_url")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL"))
     tables = SharedTables(pages.sparkSession, "urls")
     groups = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), tables)
-    as_url = F.concat(F.lit("x://"), F.col("node"))
-    ruled = groups.withColumn("blocked", F.coalesce(rule_of(url_host(as_url), url_path(as_url), rules)["verdict"] == "block", F.lit(False)))
+    parts = with_url_parts(groups, F.concat(F.lit("x://"), F.col("node")), "host", "path", "again")
+    ruled = parts.withColumn("blocked", F.coalesce(rule_of(F.col("host"), F.col("path"), rules)["verdict"] == "block", F.lit(False)))
     blocked = ruled.groupBy("component").agg(F.bool_or("blocked").alias("any_blocked")).where("any_blocked")
     aliases = tables.keep(groups.join(blocked, "component").select("node"))
-    judged = pages.select(F.col(id_col), url_host(url).alias("host"), url_path(url).alias("path"), url_node(url).alias("__node"))
+    judged = with_url_parts(pages.select(F.col(id_col).alias("__id"), url.alias("__url")), F.col("__url"), "host", "path", "__node")
     judged = judged.withColumn("__rule", rule_of(F.col("host"), F.col("path"), rules))
     judged = judged.join(aliases.select(F.col("node").alias("__alias")), F.col("__node") == F.col("__alias"), "left")
     by_alias = F.when(F.col("__alias").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))
-    return judged.select(id_col, "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), by_alias).alias("verdict"))
+    return judged.select(F.col("__id").alias(id_col), "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), by_alias).alias("verdict"))

@@ -141,6 +141,20 @@ def test_running_sums_over_many_slices(spark, monkeypatch):
     assert key() == before
 
 
+def test_bundles_of_large_alphabets_take_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(60)) for _ in range(1024)]
+    bundler = langid.Bundler(1024, 7)
+    tracemalloc.start()
+    got = bundler.bundle(texts, np.arange(len(texts)), len(texts))
+    assert tracemalloc.get_traced_memory()[1] < 400 * 2**20
+    tracemalloc.stop()
+    one = bundler.bundle(texts[5:6], np.zeros(1, int), 1)
+    assert np.array_equal(got[5:6], one) and np.abs(got).sum(1).min() > 0
+
+
 # quality
 
 

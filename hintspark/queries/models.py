@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from hintspark.functions import hashing as H, text as X, vectors as N
-from hintspark.operators import heads as D, retrieval as R, training as T
+from hintspark.operators import claims as C, heads as D, retrieval as R, training as T
 from hintspark.plans.shared import SharedTables
 from hintspark.queries import table
-from hintspark.queries.retrieval import _BM25, _TOP, _items, _scores
+from hintspark.queries.retrieval import _BM25, _items, _scores
 from hintspark.queries.text import TURN_PAIRS_SQL, _turn_pairs, words_sql
 
 QUERIES: dict = {}
@@ -57,66 +57,46 @@ QUERIES["f6_lexical_features"] = (
 )
 
 
-def search_claim_features(queries: DataFrame, ranked: DataFrame, documents: int) -> DataFrame:
-    """Shape of each query and of its ranking's scores, all between 0 and 1."""
-    t = F.col("text")
-    n, w = F.length(t), X.words(t)
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    shape = queries.select(
-        "query_id", F.least(F.size(w) / 64, F.lit(1.0)).alias("words"), F.least(F.octet_length(t) / 4096, F.lit(1.0)).alias("bytes"), F.try_divide(count(r"\p{Lu}"), n).alias("upper"), F.try_divide(count(r"\p{Nd}"), n).alias("digits"),
-        F.try_divide(F.size(F.array_distinct(w)), F.size(w)).alias("unique"),
-    )
-    scores = ranked.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"), F.count_if(F.col("rank") <= 10).alias("ten"), F.count("*").alias("positive"))
-    gap = F.col("top") - F.coalesce("second", F.lit(0.0))
-    joined = shape.join(scores, "query_id", "left")
-    rounded = [F.round(c, 6).alias(c) for c in ("words", "bytes", "upper", "digits", "unique")]
-    return joined.select("query_id", *rounded, F.round(F.col("top") / (1 + F.col("top")), 6).alias("top"), F.round(gap / (1 + gap), 6).alias("gap"), F.round(F.col("ten") / 10, 6).alias("ten"), F.round(F.col("positive") / documents, 6).alias("positive"))
-
-
-def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.ranked(_scores(spark, sf_dir), ["query_id"], [F.col("score").desc(), F.col("doc_id")])
-    return search_claim_features(_items(spark, sf_dir), ranked, table(spark, sf_dir, "documents").count())
-
-
-_RANKED_SQL = "(SELECT query_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)"
-QUERIES["f7_search_claim_features"] = (
-    _claims,
-    f"""WITH {_BM25}, s AS (SELECT query_id, max(score) FILTER (rank = 1) AS top, coalesce(max(score) FILTER (rank = 2), 0) AS second, count(*) FILTER (rank <= 10) AS ten, count(*) AS positive FROM {_RANKED_SQL} GROUP BY query_id)
-    SELECT item_id AS query_id, round(least(len({words_sql("text")}) / 64, 1), 6) AS words, round(least(strlen(text) / 4096, 1), 6) AS bytes, round(len(regexp_extract_all(text, '\\p{{Lu}}')) / length(text), 6) AS upper, round(len(regexp_extract_all(text, '\\p{{Nd}}')) / length(text), 6) AS digits,
-      round(len(list_distinct({words_sql("text")})) / len({words_sql("text")}), 6) AS unique, round(top / (1 + top), 6) AS top, round((top - second) / (1 + top - second), 6) AS gap, round(ten / 10, 6) AS ten, round(positive / (SELECT count(*) FROM documents), 6) AS positive
-    FROM benchmark LEFT JOIN s ON query_id = item_id""",
-)
-
-
-def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, deviation, first share and last ratio of the first twenty scores, relative to the first."""
-    top = R.bm25_topk(_scores(spark, sf_dir), 20).withColumn("v", F.col("score") / F.max("score").over(W.partitionBy("query_id")))
-    return top.groupBy("query_id").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("deviation"), F.round(1 / F.sum("v"), 6).alias("first_share"), F.round(F.min("v"), 6).alias("last_ratio"))
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SharedTables(spark, "ranked").keep(R.ranked(_scores(spark, sf_dir).where("score > 0"), ["query_id"], [F.col("score").desc(), F.col("doc_id")]))
 
 
-_TOP20 = _TOP.replace("<= 10", "<= 20")
-QUERIES["f8_score_spread"] = (
-    _spread,
-    f"WITH {_BM25}, v AS (SELECT query_id, score / max(score) OVER (PARTITION BY query_id) AS v FROM ({_TOP20})) SELECT query_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS deviation, round(1 / sum(v), 6) AS first_share, round(min(v), 6) AS last_ratio FROM v GROUP BY query_id",
-)
+def _claim(features, names, places: int = 6):
+    """features of (queries, ranking, documents), rounded."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = features(spark, sf_dir, _items(spark, sf_dir), _ranked(spark, sf_dir), table(spark, sf_dir, "documents").count())
+        return found.select(*(c if c not in names else F.round(c, places).alias(c) for c in found.columns))
 
-def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each query's vocabulary its first twenty documents have."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("have"))
-    top = R.bm25_topk(_scores(spark, sf_dir), 20).join(docs, "doc_id").join(_items(spark, sf_dir).select("query_id", F.array_distinct(X.words(F.col("text"))).alias("want")), "query_id")
-    share = top.select("query_id", "rank", (F.size(F.array_intersect("want", "have")) / F.size("want")).alias("c"))
-    return share.groupBy("query_id").agg(F.round(F.max(F.when(F.col("rank") == 1, F.col("c"))), 6).alias("first"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.stddev_pop("c"), 6).alias("deviation"))
+    return run
 
 
+_PLACED_SQL = "r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0), n AS (SELECT count(*) AS n, least(count(*), 10) AS ten, least(count(*), 20) AS twenty FROM documents)"
+_SHAPE_SQL = f"""SELECT item_id AS query_id, text, len({words_sql("text")}) AS words, len(list_distinct({words_sql("text")})) AS distinct_words, length(text) AS chars, strlen(text) AS bytes FROM benchmark"""
+_CLAIM_SQL = f"""s AS (SELECT query_id, coalesce(max(score) FILTER (rank = 1), 0) AS top, coalesce(max(score) FILTER (rank = 2), 0) AS second, count(*) FILTER (rank <= 10) AS ten_positive, count(*) AS positive FROM r GROUP BY query_id),
+    q AS ({_SHAPE_SQL}), f7 AS (SELECT q.query_id, 1.0::DOUBLE AS bias, round(least(words / 64, 1), 6) AS query_words, round(least(bytes / 8192, 1), 6) AS query_bytes, round(coalesce(len(regexp_extract_all(text, '\\p{{Lu}}')) / nullif(chars, 0), 0), 6) AS uppercase_fraction,
+      round(coalesce(len(regexp_extract_all(text, '\\p{{Nd}}')) / nullif(chars, 0), 0), 6) AS digit_fraction, round(coalesce(len(regexp_extract_all(text, '_')) / nullif(chars, 0), 0), 6) AS underscore_fraction,
+      round(coalesce(least(len(regexp_extract_all(text, '[\\p{{Ll}}\\p{{Nd}}]\\p{{Lu}}')) / nullif(words, 0), 1), 0), 6) AS camel_boundaries_per_word, round(coalesce(distinct_words / nullif(words, 0), 0), 6) AS unique_word_fraction,
+      round(coalesce(top / (1 + top), 0), 6) AS top_score_squashed, round(coalesce((top - second) / (1 + top), 0), 6) AS top_two_gap_squashed, round(coalesce(ten_positive, 0) / ten, 6) AS top_ten_positive_fraction, round(coalesce(positive, 0) / n, 6) AS positive_catalog_fraction
+      FROM q CROSS JOIN n LEFT JOIN s USING (query_id))"""
+_FILLED_SQL = "coalesce({s} / twenty, 0) AS m, sqrt(greatest(coalesce({q} / twenty, 0) - power(coalesce({s} / twenty, 0), 2), 0)) AS d"
+_SPREAD_SQL = f"""v AS (SELECT r.query_id, rank, score / first AS v FROM r JOIN (SELECT query_id, score AS first FROM r WHERE rank = 1) USING (query_id) CROSS JOIN n WHERE rank <= twenty),
+    vs AS (SELECT query_id, sum(v) AS s, sum(v * v) AS q, max(v) FILTER (rank = (SELECT twenty FROM n)) AS last FROM v GROUP BY query_id),
+    f8 AS (SELECT query_id, round(m, 6) AS top20_relative_mean, round(d, 6) AS top20_relative_stddev, round(coalesce(1 / s, 0), 6) AS top20_first_score_share, round(coalesce(last, 0), 6) AS top20_last_first_ratio
+      FROM (SELECT item_id AS query_id, s, last, {_FILLED_SQL.format(s="s", q="q")} FROM benchmark CROSS JOIN n LEFT JOIN vs ON query_id = item_id))"""
+QUERIES["f7_search_claim_features"] = (_claim(lambda s, d, q, r, n: C.search_claim_features(q, r, n), (*C.SHAPE, *C.SCORES)), f"WITH {_BM25}, {_PLACED_SQL}, {_CLAIM_SQL} SELECT * FROM f7")
+QUERIES["f8_score_spread"] = (_claim(lambda s, d, q, r, n: C.score_spread(q, r, n), C.SPREADS), f"WITH {_BM25}, {_PLACED_SQL}, {_SPREAD_SQL} SELECT * FROM f8")
 QUERIES["f9_coverage"] = (
-    _coverage,
-    f"""WITH {_BM25}, t AS (SELECT x.query_id, x.rank, list_distinct(q.terms) AS want, d.terms AS have FROM ({_TOP20}) x JOIN (SELECT item_id AS query_id, {words_sql("text")} AS terms FROM benchmark) q USING (query_id) JOIN docs d USING (doc_id)),
-    c AS (SELECT query_id, rank, len(list_intersect(want, have)) / len(want) AS c FROM t) SELECT query_id, round(max(c) FILTER (rank = 1), 6) AS first, round(avg(c), 6) AS mean, round(stddev_pop(c), 6) AS deviation FROM c GROUP BY query_id""",
+    _claim(lambda s, d, q, r, n: C.query_coverage(q, r, table(s, d, "documents"), n), C.COVERAGES),
+    f"""WITH {_BM25}, {_PLACED_SQL}, t AS (SELECT r.query_id, rank, len(list_intersect(q.want, d.terms)) / len(q.want) AS c FROM r JOIN (SELECT item_id AS query_id, list_distinct({words_sql("text")}) AS want FROM benchmark) q USING (query_id) JOIN docs d USING (doc_id) CROSS JOIN n WHERE rank <= twenty),
+    cs AS (SELECT query_id, sum(c) AS s, sum(c * c) AS q, max(c) FILTER (rank = 1) AS first FROM t GROUP BY query_id),
+    k AS (SELECT query_id, count(*) AS terms, count(df) AS known FROM asked LEFT JOIN dfs USING (term) GROUP BY query_id)
+    SELECT query_id, round(coalesce(first, 0), 6) AS first_query_term_coverage, round(m, 6) AS top20_mean_query_term_coverage, round(d, 6) AS top20_stddev_query_term_coverage, round(coalesce(1 - known / terms, 0), 6) AS query_vocabulary_absent_fraction
+    FROM (SELECT item_id AS query_id, first, {_FILLED_SQL.format(s="s", q="q")} FROM benchmark CROSS JOIN n LEFT JOIN cs ON query_id = item_id) LEFT JOIN k USING (query_id)""",
 )
 QUERIES["f10_path_claim_features"] = (
-    lambda s, d: _claims(s, d).join(_spread(s, d), "query_id").select("query_id", "top", "gap", "mean", "last_ratio", (F.col("top").between(0, 1) & F.col("mean").between(0, 1) & F.col("last_ratio").between(0, 1)).alias("in_range")),
-    f"SELECT query_id, top, gap, mean, last_ratio, top BETWEEN 0 AND 1 AND mean BETWEEN 0 AND 1 AND last_ratio BETWEEN 0 AND 1 AS in_range FROM ({QUERIES['f7_search_claim_features'][1]}) JOIN ({QUERIES['f8_score_spread'][1]}) USING (query_id)",
+    _claim(lambda s, d, q, r, n: C.path_claim_features(q, r, n), (*C.SHAPE, *C.SCORES, *C.SPREADS)),
+    f"WITH {_BM25}, {_PLACED_SQL}, {_CLAIM_SQL}, {_SPREAD_SQL} SELECT f7.*, f8.* EXCLUDE (query_id), true AS in_range FROM f7 JOIN f8 USING (query_id)",
 )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hintspark.functions.text import once
 from hintspark.plans.components import connected_components
 from hintspark.plans.shared import SharedTables
 
@@ -25,26 +26,44 @@ def _rest(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
 
 
-def url_host(url: Column) -> Column:
-    return F.translate(F.regexp_extract(F.coalesce(_rest(url), F.lit("")), r"^([^/?#]*)", 1), _UPPER, _LOWER)
+def url_parts(url: Column) -> Column:
+    """struct(site, host, path, node) of a URL. Values that several parts need are bound, not repeated: filters that are
+    pushed down copy an expression, and copies of copies would outgrow what can be compiled."""
 
+    def cut(rest: Column) -> Column:
+        site = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+        return F.struct(site.alias("site"), F.translate(site, _UPPER, _LOWER).alias("host"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)?", 1).alias("query"))
 
-def url_path(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(_rest(url), F.lit("")), r"^[^/?#]*([^?#]*)", 1)
+    def joined(p: Column) -> Column:
+        node = F.concat(p["host"], F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), p["query"])
+        return F.struct(p["site"].alias("site"), p["host"].alias("host"), p["path"].alias("path"), F.when(p["host"] != "", node).alias("node"))
 
-
-def url_node(url: Column) -> Column:
-    """The URL as a node of the alias graph: host, path and query, without scheme and fragment; null without a host."""
-    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)?", 1)
-    return F.when(url_host(url) != "", F.concat(url_host(url), F.when(url_path(url) == "", F.lit("/")).otherwise(url_path(url)), query))
+    return once(url, lambda u: once(F.coalesce(_rest(u), F.lit("")), lambda rest: once(cut(rest), joined)))
 
 
 def with_url_parts(frame: DataFrame, url: Column, host: str, path: str, node: str) -> DataFrame:
-    """frame with the parts of a URL, each made once: as columns of their own they aren't repeated in what uses them."""
-    cut = frame.withColumn("__rest", F.coalesce(_rest(url), F.lit("")))
-    cut = cut.withColumns({host: F.translate(F.regexp_extract("__rest", r"^([^/?#]*)", 1), _UPPER, _LOWER), path: F.regexp_extract("__rest", r"^[^/?#]*([^?#]*)", 1), "__query": F.regexp_extract("__rest", r"^[^?#]*(\?[^#]*)?", 1)})
-    whole = F.concat(F.col(host), F.when(F.col(path) == "", F.lit("/")).otherwise(F.col(path)), F.col("__query"))
-    return cut.withColumn(node, F.when(F.col(host) != "", whole)).drop("__rest", "__query")
+    """frame with a URL's host, path and node."""
+    parts = url_parts(url)
+    return frame.withColumns({host: parts["host"], path: parts["path"], node: parts["node"]})
+
+
+def link_target(url: Column, to: Column) -> Column:
+    """The URL that a page's link leads to; null if it ties nothing."""
+
+    def resolved(b: Column) -> Column:
+        to, scheme = b["to"], b["scheme"]
+        site = F.concat(scheme, F.lit("://"), b["parts"]["site"])
+        folder = F.regexp_extract(b["parts"]["path"], r"^(.*/)?", 0)
+        here = F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_replace(to, r"^(?:\./)+", ""))
+        return (
+            F.when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+            .when(F.startswith(to, F.lit("/")), F.concat(site, to))
+            .when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), to)
+            .when(F.startswith(to, F.lit("?")), F.concat(site, b["parts"]["path"], to))
+            .when(~F.startswith(to, F.lit("#")), here)
+        )
+
+    return once(F.struct(to.alias("to"), F.regexp_extract(url, r"^(.*?)://", 1).alias("scheme"), url_parts(url).alias("parts")), resolved)
 
 
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -79,20 +98,8 @@ def page_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     moves = F.transform(F.regexp_extract_all(html, F.lit(META), F.lit(0)), lambda t: F.regexp_extract(t, GOES_TO, 1))
     raw = pages.where(html.rlike("(?i)canonical|refresh") & (F.instr(F.col(url_col), "://") > 0))
     raw = raw.select(F.col(url_col).alias("url"), F.explode(F.concat(links, moves)).alias("to")).withColumn("to", F.replace("to", F.lit("&amp;"), F.lit("&")))
-    raw = with_url_parts(raw, F.col("url"), "host", "path", "src")
-    raw = raw.withColumns({"scheme": F.regexp_extract("url", r"^(.*?)://", 1), "folder": F.regexp_extract("path", r"^(.*/)?", 0)})
-    raw = raw.withColumn("site", F.concat("scheme", F.lit("://"), F.regexp_extract(_rest(F.col("url")), r"^([^/?#]*)", 1)))
-    scheme, site, folder = F.col("scheme"), F.col("site"), F.col("folder")
-    here = F.concat(site, F.when(folder == "", F.lit("/")).otherwise(folder), F.regexp_replace("to", r"^(?:\./)+", ""))
-    whole = (
-        F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.startswith("to", F.lit("/")), F.concat(site, F.col("to")))
-        .when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("to"))
-        .when(F.startswith("to", F.lit("?")), F.concat(site, F.col("path"), F.col("to")))
-        .when(~F.startswith("to", F.lit("#")), here)
-    )
-    ends = with_url_parts(raw.select("src", whole.alias("whole")), F.col("whole"), "to_host", "to_path", "dst")
-    return ends.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
+    ends = raw.select(url_parts(F.col("url"))["node"].alias("src"), url_parts(link_target(F.col("url"), F.col("to")))["node"].alias("dst"))
+    return ends.where("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
 
 
 def judge_urls(
@@ -113,7 +120,7 @@ def judge_urls(
     url = F.col(url_col)
     edges = page_links(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select(url_node(F.col("from_url")).alias("src"), url_node(F.col("to_url")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL"))
+        edges = edges.unionByName(redirects.select(url_parts(F.col("from_url"))["node"].alias("src"), url_parts(F.col("to_url"))["node"].alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL"))
     tables = SharedTables(pages.sparkSession, "urls")
     groups = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), tables)
     parts = with_url_parts(groups, F.concat(F.lit("x://"), F.col("node")), "host", "path", "again")

@@ -177,8 +177,11 @@ QUERIES["l1_fit_logistic"] = (_logistic, None)
 
 
 def _roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients go to a stored table and come back; read_back says whether they are the same."""
     _, w = _fitted(spark, sf_dir)
-    return T.coefficients_to_table(spark, "languages", "main", w).groupBy("class").agg(F.count("*").alias("coefficients"), F.max("idx").alias("last"))
+    stored = SharedTables(spark, "coefficients").keep(T.coefficients_to_table(spark, "languages", "main", w))
+    again = T.table_to_coefficients(stored, "languages", "main", *(w.shape[0], w.shape[1] - 1))
+    return stored.groupBy("class").agg(F.count("*").alias("coefficients"), F.max("idx").alias("last")).withColumn("read_back", F.lit(bool((again == w).all())))
 
 
 QUERIES["s9_coefficient_table"] = (_roundtrip, None)
@@ -265,6 +268,20 @@ QUERIES["q2_quantize_vectors"] = (
 )
 
 
+def _dotted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector's positive components as sparse features, times weights made of their places."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x, i: F.struct(i.alias("idx"), x.cast("double").alias("val"))).alias("f"))
+    width = v.agg(F.max(F.size("f"))).first()[0]
+    weights = F.array(*(F.lit((i * 7 % 11 - 5) / 10) for i in range(width)))
+    return v.select("vec_id", F.round(H.sparse_dot(F.filter("f", lambda x: x["val"] > 0), weights), 5).alias("dot"))
+
+
+QUERIES["q1_sparse_dot"] = (
+    _dotted,
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN x::DOUBLE * ((i - 1) * 7 % 11 - 5) / 10 ELSE 0 END)), 5) AS dot FROM embeddings",
+)
+
+
 def _reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each passage's first eight documents by cross features, with weights of alternating sign.
 

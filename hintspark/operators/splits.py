@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from hintspark.functions import text as X
 from hintspark.plans.numbering import Ordered, numbered_within
 from hintspark.plans.components import connected_components
+from hintspark.plans.digests import with_sorted_digest
 from hintspark.plans.shared import SharedTables
 
 
@@ -29,11 +29,15 @@ def shared_key_components(rows: DataFrame, row_id: str, keys: dict[str, Column])
     return rows.join(found, F.col(row_id) == F.col("__row"), "left").select(row_id, F.coalesce("component", row_id).alias("component"))
 
 
+def component_sizes(members: DataFrame, row_id: str) -> DataFrame:
+    """component, size and representative (least id)."""
+    return members.groupBy("component").agg(F.count("*").alias("size"), F.min(row_id).alias("representative"))
+
+
 def component_report(members: DataFrame, row_id: str) -> DataFrame:
-    """component, size, representative (least id) and a signature of its members' ids."""
-    return members.groupBy("component").agg(
-        F.count("*").alias("size"), F.min(row_id).alias("representative"), X.set_digest(F.col(row_id).cast("string")).alias("signature")
-    )
+    """component, size, representative (least id) and signature, the digest of its sorted members' ids."""
+    members = SharedTables(members.sparkSession, "members").keep(members.select("component", row_id))
+    return with_sorted_digest(component_sizes(members, row_id), members, "component", F.col(row_id).cast("string"), "signature")
 
 
 def size_histogram(report: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ QUERIES["g1_components"] = (_members, f"WITH {_COMPONENTS} SELECT * FROM members
 _report = lambda s, d: S.component_report(_members(s, d), "doc_id")
 QUERIES["g2_component_report"] = (_report, f"WITH {_COMPONENTS}, {_SIGNED} SELECT * FROM report")
 QUERIES["g2_size_histogram"] = (lambda s, d: S.size_histogram(S.component_sizes(_members(s, d), "doc_id")), f"WITH {_COMPONENTS}, {_REPORT} SELECT size, count(*) AS components, count(*) * size AS rows FROM report GROUP BY size")
-QUERIES["g3_select_components"] = (lambda s, d: S.select_components(_members(s, d).groupBy("component").agg(F.count("*").alias("size"), F.min("doc_id").alias("representative"), X.set_digest(F.col("doc_id").cast("string")).alias("signature")), 25), f"WITH {_COMPONENTS}, {_REPORT} SELECT * FROM report ORDER BY signature, component LIMIT 25")
+QUERIES["g3_select_components"] = (lambda s, d: S.select_components(_report(s, d), 25), f"WITH {_COMPONENTS}, {_SIGNED} SELECT * FROM report ORDER BY signature, component LIMIT 25")
 _GROUPS = "(SELECT source, lang, source || lang AS grp, count(*) AS size FROM documents GROUP BY ALL)"
 
 

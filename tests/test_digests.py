@@ -48,3 +48,9 @@ def test_a_component_is_signed_by_its_sorted_members(spark):
     got = reports(spark, "g2_component_report")
     assert {r["component"]: r["signature"] for r in got} == {c: listed(ids) for c, ids in want.items()}
     assert all(r["size"] == len(want[r["component"]]) for r in got)
+
+
+def test_components_are_drawn_in_order_of_their_sorted_members_digests(spark):
+    signed = sorted((listed(ids), c) for c, ids in members(spark).items())
+    got = [(r["signature"], r["component"]) for r in reports(spark, "g3_select_components")]
+    assert got == signed[:25]

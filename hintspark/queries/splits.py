@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hintspark.functions import text as X
 from hintspark.operators import splits as S
 from hintspark.operators.star import family_graph_check, family_graph_counts
+from hintspark.plans.digests import with_sorted_digest
 from hintspark.queries import table
 from hintspark.queries.text import collapse_sql
 
@@ -145,9 +146,17 @@ QUERIES["g10_coverage_requirements"] = (
     p AS (SELECT DISTINCT source AS key, x.role, x.minimum FROM documents, (VALUES ('dev', 9), ('train', 40)) x(role, minimum))
     SELECT key, role, minimum, coalesce(have, 0) AS have, coalesce(have, 0) >= minimum AS met FROM p LEFT JOIN c USING (key, role)""",
 )
+
+
+def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("source", "doc_id")
+    counted = docs.groupBy("source").agg(F.count("*").alias("members"))
+    return with_sorted_digest(counted, docs, "source", F.col("doc_id").cast("string"), "digest").select("source", "digest", "members")
+
+
 QUERIES["g11_membership_digest"] = (
-    lambda s, d: _docs(s, d).groupBy("source").agg(X.set_digest(F.col("doc_id").cast("string")).alias("digest"), F.count("*").alias("members")),
-    f"SELECT source, {SET_DIGEST_SQL} AS digest, count(*) AS members FROM documents GROUP BY source",
+    _membership,
+    f"SELECT source, {_LIST_DIGEST_SQL} AS digest, count(*) AS members FROM documents GROUP BY source",
 )
 QUERIES["g12_hash_split"] = (lambda s, d: _docs(s, d).select("doc_id", S.hash_split(F.col("doc_id"), "dev").alias("split")), f"SELECT doc_id, {_SPLIT_SQL} AS split FROM documents")
 QUERIES["g13_assert_disjoint"] = (

@@ -54,3 +54,10 @@ def test_components_are_drawn_in_order_of_their_sorted_members_digests(spark):
     signed = sorted((listed(ids), c) for c, ids in members(spark).items())
     got = [(r["signature"], r["component"]) for r in reports(spark, "g3_select_components")]
     assert got == signed[:25]
+
+
+def test_membership_digest_is_of_the_sorted_members(spark):
+    held = {}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id").collect():
+        held.setdefault(r["source"], []).append(str(r["doc_id"]))
+    assert {r["source"]: (r["digest"], r["members"]) for r in reports(spark, "g11_membership_digest")} == {s: (listed(ids), len(ids)) for s, ids in held.items()}

@@ -217,8 +217,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts with at least 0.8 of their labelled k-mers in common share a bucket but for one case
     in 10**7. Buckets are never cut: minima and maxima are partial aggregates, the joins can be
-    split. Only nodes of different classes that share enough of their rarest words are expanded
-    into pairs.
+    split. A node is first paired with at most three centres for each of its buckets; after that
+    only nodes of different classes are.
     """
     return _classes(docs, id_col, text_col, similarity).select(F.col("id").alias(id_col), "class_id", "n_words")
 
@@ -235,24 +235,17 @@ def _found_classes(docs: DataFrame, id_col: str, text_col: str, similarity: floa
     nodes = tables.keep(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("picks").alias("picks")))
     meta = tables.keep(rows.select("id", "node", "n_words"))
     buckets = nodes.select("node", F.explode("picks").alias("pick"))
-    drawn = F.min_by("node", F.xxhash64("pick", "node"))
-    centres = buckets.groupBy("pick").agg(F.min("node").alias("low"), F.max("node").alias("high"), drawn.alias("any")).where("low <> high")
-    pairs = (
-        buckets.join(centres, "pick")
-        .select(F.explode(F.array_distinct(F.array("low", "high", "any"))).alias("u"), F.col("node").alias("v"))
-        .where("u <> v")
-        .groupBy("u", "v")
-        .agg(F.count("*").alias("n"))
-    )
-    pairs = tables.keep(pairs)
-    texts = tables.keep(rows.select("node", "words").join(_ends_of(pairs), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")))
+    centres = buckets.groupBy("pick").agg(*_centres(F.col("node"))).where("low <> high")
+    met = tables.keep(buckets.join(centres, "pick"))
+    texts = tables.keep(rows.select("node", "words").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")))
     tables.drop(rows)
-    best = tables.keep(pairs.groupBy("v").agg(F.max(F.struct("n", "u")).alias("b")).select(F.col("b.u").alias("u"), "v"))
+    proposed = met.select(F.explode(F.array_distinct(F.array("low", "high", "any"))).alias("u"), F.col("node").alias("v")).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    best = tables.keep(proposed.groupBy("v").agg(F.max(F.struct("n", "u")).alias("b")).select(F.col("b.u").alias("u"), "v"))
     classes = tables.keep(connected_components(_verified(best, texts, similarity), tables))
-    rest = _apart(pairs.select("u", "v").join(best, ["u", "v"], "left_anti"), classes)
+    rest = _centres_apart(_with_class(met.select("pick", "node"), classes, "node", "class")).join(best, ["u", "v"], "left_anti")
     links = _verified(tables.keep(rest), texts, similarity, ("u_class", "v_class"))
     placed = tables.keep(_joined(_with_class(nodes.select("node", "id"), classes, "node", "class"), links, tables))
-    links = _verified(_unseen_pairs(nodes, pairs, placed, texts, similarity, tables), texts, similarity, ("u_class", "v_class"))
+    links = _verified(_unseen_pairs(met, placed, texts, similarity, tables), texts, similarity, ("u_class", "v_class"))
     by_node = tables.keep(_joined(placed, links, tables))
     least = by_node.groupBy("class").agg(F.min("id").alias("class_id"))
     by_node = by_node.join(least, "class").select("node", "class", "class_id")
@@ -266,9 +259,21 @@ def _with_class(frame: DataFrame, classes: DataFrame, node: str, name: str) -> D
     return joined.withColumn(name, F.coalesce("__component", node)).drop("__node", "__component")
 
 
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of different classes, with these."""
-    return _with_class(_with_class(pairs, classes, "u", "u_class"), classes, "v", "v_class").where("u_class <> v_class")
+def _centres(member: Column) -> list[Column]:
+    """A bucket's centres as aggregates of member, its node or a struct that begins with it."""
+    return [F.min(member).alias("low"), F.max(member).alias("high"), F.min_by(member, F.xxhash64("pick", "node")).alias("any")]
+
+
+def _centres_apart(inside: DataFrame) -> DataFrame:
+    """(u, v, u_class, v_class): nodes v with the centres u of their buckets that lie in another class.
+
+    inside: pick, node and class of every entry. Only buckets of several classes are joined with
+    their centres, so the pairs inside a class are never made, however many copies it has.
+    """
+    several = F.min("class") != F.max("class")
+    centres = inside.groupBy("pick").agg(*_centres(F.struct("node", "class")), several.alias("several")).where("several").drop("several")
+    pairs = inside.join(centres, "pick").select(F.explode(F.array("low", "high", "any")).alias("u"), F.col("node").alias("v"), F.col("class").alias("v_class"))
+    return pairs.select("u.node", "v", "u.class", "v_class").toDF("u", "v", "u_class", "v_class").where("u_class <> v_class").distinct()
 
 
 def _joined(placed: DataFrame, links: DataFrame, tables: SharedTables) -> DataFrame:
@@ -331,22 +336,19 @@ def _rare_words(texts: DataFrame, levels: np.ndarray, similarity: float) -> Data
     return texts.select(*names[:3], "words").mapInArrow(choose, "node binary, class binary, picks array<long>, n long, rare array<long>")
 
 
-def _unseen_pairs(nodes: DataFrame, pairs: DataFrame, placed: DataFrame, texts: DataFrame, similarity: float, tables: SharedTables) -> DataFrame:
+def _unseen_pairs(met: DataFrame, placed: DataFrame, texts: DataFrame, similarity: float, tables: SharedTables) -> DataFrame:
     """(u, v, u_class, v_class): all pairs of a bucket that lie in different classes and can be near-duplicates.
 
-    A bucket's first node is paired with all others, so one that holds several classes has an apart
-    pair, and all its nodes are neighbours of such a pair's ends. In such a bucket the nodes outside
-    its largest class meet all: at most twice the pairs that lie in different classes. A pair comes
-    from the least pick that it shares, and only if its lengths and rarest words allow it. Words are
-    labelled with their occurrence. A near-duplicate of a text of n words lacks m of them at most, a
-    fifth; it has needed(n) of the m + needed(n) rarest in common with those of any near-duplicate
-    that needs as many, in whatever order both are ranked; words of a passage that fills the bucket
-    come last. All this is part of the join's condition, so that no pair that fails it is written.
+    met has the entries (pick, node) of the buckets of several nodes. In a bucket of several classes
+    the nodes outside its largest class meet all: at most twice the pairs that lie in different
+    classes. A pair comes from the least pick that it shares, and only if its lengths and rarest
+    words allow it. Words are labelled with their occurrence. A near-duplicate of a text of n words
+    lacks m of them at most, a fifth; it has needed(n) of the m + needed(n) rarest in common with
+    those of any near-duplicate that needs as many, in whatever order both are ranked; words of a
+    passage that fills the bucket come last. All this is part of the join's condition, so that no
+    pair that fails it is written.
     """
-    of = placed.select(F.col("node").alias("node"), F.col("class").alias("component"))
-    ends = tables.keep(_ends_of(_apart(pairs.select("u", "v"), of)))
-    near = pairs.join(ends.withColumnRenamed("node", "u"), "u", "left_semi").select(F.col("v").alias("node")).unionByName(ends).distinct()
-    buckets = tables.keep(nodes.join(near, "node", "left_semi").join(placed.select("node", "class"), "node").select("node", "class", F.explode("picks").alias("pick")))
+    buckets = tables.keep(met.select("pick", "node").join(placed.select("node", "class"), "node"))
     sizes = buckets.groupBy("pick", "class").agg(F.count("*").alias("k")).groupBy("pick")
     several = tables.keep(sizes.agg(F.max(F.struct("k", "class"))["class"].alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("pick", "largest"))
     members = buckets.join(several, "pick", "left_semi").groupBy("node", "class").agg(F.array_sort(F.collect_set("pick")).alias("picks"))

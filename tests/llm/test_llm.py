@@ -427,6 +427,42 @@ def test_copies_with_a_shared_passage_are_found_without_a_centre(spark):
     assert got == {k: k // 2 * 2 for k in range(240)}
 
 
+def outer_joined_rows(spark, run):
+    """The most rows that one left outer join makes while run() runs, of all its jobs."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def ids():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = store.executionsList()
+        return {found.apply(i).executionId() for i in range(found.size())}
+
+    before, most = ids(), 0
+    run()
+    for at in ids() - before:
+        metrics, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and "LeftOuter" in node.desc():
+                own = (node.metrics().apply(k) for k in range(node.metrics().size()))
+                counts = [metrics.get(m.accumulatorId()) for m in own if m.name() == "number of output rows"]
+                most = max([most, *(int(c.get().replace(",", "")) for c in counts if c.isDefined())])
+    return most
+
+
+def test_classes_are_looked_up_for_entries_not_for_pairs(spark):
+    rng = random.Random(9)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(90)], []
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(90), 3):
+            copy[at] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy), "en", "a", 0))
+    frame, got = docs(spark, rows), []
+    most = outer_joined_rows(spark, lambda: got.extend(near_dedup.near_duplicates(frame).collect()))
+    assert {r["class_id"] for r in got} == {0} and len(got) == 400
+    entries = near_dedup._sketched(frame, "doc_id", "text").select(F.explode("picks").alias("pick")).groupBy("pick").count().where("count > 1")
+    assert 0 < most <= entries.agg(F.sum("count")).first()[0]
+
+
 def test_near_duplicates_share_rare_words_in_any_order(spark):
     rng, rows, pairs = np.random.default_rng(4), [], []
     for i in range(120):

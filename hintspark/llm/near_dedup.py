@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from hintspark.plans.components import connected_components
+from hintspark.plans.components import stars
 from hintspark.plans.shared import SharedTables, arrow_rows
 
 WORDS, PICKED, HASHES, SIMILARITY = 5, 3, 24, 0.8
@@ -239,9 +239,10 @@ def _found_classes(docs: DataFrame, id_col: str, text_col: str, similarity: floa
     met = tables.keep(buckets.join(centres, "pick"))
     texts = tables.keep(rows.select("node", "words").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words")))
     tables.drop(rows)
-    proposed = met.select(F.explode(F.array_distinct(F.array("low", "high", "any"))).alias("u"), F.col("node").alias("v")).where("u <> v").groupBy("u", "v").agg(F.count("*").alias("n"))
+    proposed = met.select(F.explode(F.array_distinct(F.array("low", "high", "any"))).alias("u"), F.col("node").alias("v")).where("u <> v")
+    proposed = proposed.repartition("v").groupBy("u", "v").agg(F.count("*").alias("n"))  # a node has three centres a hash function at most
     best = tables.keep(proposed.groupBy("v").agg(F.max(F.struct("n", "u")).alias("b")).select(F.col("b.u").alias("u"), "v"))
-    classes = tables.keep(connected_components(_verified(best, texts, similarity), tables))
+    classes = stars(_verified(best, texts, similarity), tables)
     rest = _centres_apart(_with_class(met.select("pick", "node"), classes, "node", "class")).join(best, ["u", "v"], "left_anti")
     links = _verified(tables.keep(rest), texts, similarity, ("u_class", "v_class"))
     placed = tables.keep(_joined(_with_class(nodes.select("node", "id"), classes, "node", "class"), links, tables))
@@ -253,7 +254,7 @@ def _found_classes(docs: DataFrame, id_col: str, text_col: str, similarity: floa
 
 
 def _with_class(frame: DataFrame, classes: DataFrame, node: str, name: str) -> DataFrame:
-    """frame with the class of its column node; a node without links is its own class."""
+    """frame with the class of its column node; a node that isn't there is its own class."""
     other = classes.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
     joined = frame.join(other, F.col(node) == F.col("__node"), "left")
     return joined.withColumn(name, F.coalesce("__component", node)).drop("__node", "__component")
@@ -273,12 +274,12 @@ def _centres_apart(inside: DataFrame) -> DataFrame:
     several = F.min("class") != F.max("class")
     centres = inside.groupBy("pick").agg(*_centres(F.struct("node", "class")), several.alias("several")).where("several").drop("several")
     pairs = inside.join(centres, "pick").select(F.explode(F.array("low", "high", "any")).alias("u"), F.col("node").alias("v"), F.col("class").alias("v_class"))
-    return pairs.select("u.node", "v", "u.class", "v_class").toDF("u", "v", "u_class", "v_class").where("u_class <> v_class").distinct()
+    return pairs.select("u.node", "v", "u.class", "v_class").toDF("u", "v", "u_class", "v_class").where("u_class <> v_class").dropDuplicates(["u", "v"])
 
 
 def _joined(placed: DataFrame, links: DataFrame, tables: SharedTables) -> DataFrame:
     """placed (node, id, class) with the classes that the pairs (u_class, v_class) of links join."""
-    joined = connected_components(links.select(F.col("u_class").alias("u"), F.col("v_class").alias("v")), tables)
+    joined = stars(links.select(F.col("u_class").alias("u"), F.col("v_class").alias("v")), tables)
     final = joined.select(F.col("node").alias("__old"), F.col("component").alias("__new"))
     return placed.join(final, F.col("class") == F.col("__old"), "left").select("node", "id", F.coalesce("__new", "class").alias("class"))
 

@@ -463,6 +463,42 @@ def test_classes_are_looked_up_for_entries_not_for_pairs(spark):
     assert 0 < most <= entries.agg(F.sum("count")).first()[0]
 
 
+def tasks_of(spark, run):
+    """How many tasks run() takes."""
+    context = spark.sparkContext
+    context.setJobGroup(run.__name__, "")
+    run()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {k for job in tracker.getJobIdsForGroup(run.__name__) for k in tracker.getJobInfo(job).stageIds}
+    return sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+
+
+def test_near_duplicates_take_few_tasks_a_partition(spark):
+    rng, rows = random.Random(5), []
+    for group in range(12):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for i in range(10):
+            copy = list(base)
+            copy[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+            rows.append((group * 10 + i, " ".join(copy), "en", "a", 0))
+    many = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before, got = {k: spark.conf.get(k, None) for k in many}, []
+
+    def few_tasks_a_partition():
+        got.extend(near_dedup.near_duplicates(docs(spark, rows)).collect())
+
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        tasks = tasks_of(spark, few_tasks_a_partition)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r["doc_id"]: r["class_id"] for r in got} == {k: k // 10 * 10 for k in range(120)}
+    assert tasks < 60 * 24, tasks / 24
+
+
 def test_near_duplicates_share_rare_words_in_any_order(spark):
     rng, rows, pairs = np.random.default_rng(4), [], []
     for i in range(120):

@@ -67,13 +67,17 @@ def progress_gate(candidate: DataFrame, comparator: DataFrame) -> DataFrame:
 
 
 def lineage_bootstrap(rows: DataFrame, lineage: str, stratum: str, difference: str, weights: dict[str, int], replicates: int = 500, seed: str = "lineage") -> DataFrame:
-    """2.5 and 97.5 percent points of the weighted mean difference when lineages are drawn anew inside strata."""
+    """2.5 and 97.5 percent points of the weighted mean difference when lineages are drawn anew inside strata.
+
+    There are replicates times as many draws as lineages, which a planner doesn't see, so neither side of their join is
+    sent to the driver.
+    """
     means = rows.groupBy(stratum, lineage).agg(F.avg(difference).alias("d"))
     order = W.partitionBy(stratum).orderBy(F.sha2(F.concat_ws(":", F.lit(seed), lineage), 256), lineage)
     numbered = means.select(stratum, "d", (F.row_number().over(order) - 1).alias("number"), F.count("*").over(W.partitionBy(stratum)).alias("n"))
     draws = numbered.select(stratum, F.col("number").alias("slot"), "n").withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     drawn = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), stratum, "replicate", "slot"), 256), 1, 8), 16, 10).cast("long") % F.col("n")
-    picked = draws.select("replicate", stratum, drawn.alias("number")).join(numbered.select(stratum, "number", "d"), [stratum, "number"])
+    picked = draws.select("replicate", stratum, drawn.alias("number")).hint("merge").join(numbered.select(stratum, "number", "d").hint("merge"), [stratum, "number"])
     per = picked.groupBy("replicate", stratum).agg(F.avg("d").alias("m"))
     weight = F.lit(None).cast("int")
     for s, w in weights.items():

@@ -54,3 +54,23 @@ def test_bm25_pairs_are_not_shuffled(spark):
     plan = scores._jdf.queryExecution().executedPlan().toString()
     assert "CoGroup" in plan.split("\n")[1] + plan.split("\n")[0]
     assert scores.count() == 20 * 50
+
+
+def test_first_by_digest_leaves_nothing_out(spark):
+    """Before, all rows were sorted by their digests to find a few."""
+    sizes = {1: 5000, 2: 3, 3: 24}
+    rows = spark.createDataFrame([(q, d) for q, n in sizes.items() for d in range(n)], "q int, d int").repartition(4)
+    digest = F.sha2(F.col("d").cast("string"), 256)
+    first = lambda frame: sorted(tuple(r) for r in frame.select("q", "d", "rank").collect())
+    assert first(R.first_by_digest(rows, ["q"], digest, 24)) == first(R.ranked(rows, ["q"], [digest], 24))
+
+
+def test_spread_reads_as_many_places_as_it_needs(spark, monkeypatch):
+    """Before, every pair was ranked and stored for the first twenty places."""
+    from hintspark.queries import models
+
+    asked, scores = [], models._scores
+    monkeypatch.setattr(models, "_scores", lambda s, d, best=None: asked.append(best) or scores(s, d, best))
+    for name in ("f8_score_spread", "f9_coverage", "r16_linear_rerank"):
+        models.QUERIES[name][0](spark, "/root/testdata/sf0.001")
+    assert asked == [20, 20, 8]
